@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from millrace.llm import mixing, sharding, simhash
+from millrace.llm import decontaminate, line_dedup, mixing, repeats, sharding, simhash
 
 
 def queries() -> dict:
     return {
+        "op3_spaced_seeds": decontaminate.op3_spaced_seeds,
+        "op4_line_join": line_dedup.op4_line_join,
+        "op7_suffix_radix": repeats.op7_suffix_radix,
         "op8_interleave": sharding.op8_interleave,
         "op9_mix": mixing.op9_mix,
         "op10_simhash": simhash.op10_simhash,
@@ -15,6 +18,8 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_spaced_seeds": decontaminate.ORACLE,
+        "op4_line_join": line_dedup.ORACLE,
         "op8_interleave": sharding.ORACLE,
         "op9_mix": mixing.ORACLE,
     }

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import stored
 from millrace.llm.components import components
+from millrace.llm.keyed import key_groups
 
 #: Shingles hashed at a time, so that a very long text takes little memory.
 CHUNK = 1 << 16
@@ -135,36 +136,11 @@ def _linker(distance: int, small: int, large: int):
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(key, pa.int64(), from_pandas=True)], ["a", "b", "key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, over = None, None  # rows of the last bucket; the key of the bucket that is too large
-        for rows in batches:
-            key, ids, fp = (np.asarray(rows.column(c)) for c in ("key", "id", "fp"))
-            if not len(key):
-                continue
-            fp = fp.view(np.uint64)
-            if held is not None:
-                key, ids, fp = (np.concatenate(x) for x in zip(held, (key, ids, fp), strict=True))
-            if over is not None:
-                n = int(np.searchsorted(key, over, "right"))
-                if n:
-                    yield batch(ids[:n], ids[:n], key[:n])
-                key, ids, fp = key[n:], ids[n:], fp[n:]
-                if len(key):
-                    over = None
-            if not len(key):
-                held = None
-                continue
-            last = int(np.searchsorted(key, key[-1]))
-            for a, b in linked(key[:last], ids[:last], fp[:last]):
-                yield batch(a, b, np.full(len(a), None, dtype=object))
-            key, ids, fp = key[last:], ids[last:], fp[last:]
-            if len(key) > large:
-                over = key[0]
+        for crowded, (key, ids, fp) in key_groups(batches, "key", ["key", "id", "fp"], large):
+            if crowded:
                 yield batch(ids, ids, key)
-                held = None
-            else:
-                held = (key, ids, fp)
-        if held is not None:
-            for a, b in linked(*held):
+                continue
+            for a, b in linked(key, ids, fp.view(np.uint64)):
                 yield batch(a, b, np.full(len(a), None, dtype=object))
 
     return run
