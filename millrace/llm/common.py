@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +37,19 @@ def stored(rows: DataFrame) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """Adds ``_file`` and ``_row``, which name a row of the files that ``rows`` reads.
+
+    They are the same whichever columns are read, so a thin selection can be
+    worked on and joined back, even where rows repeat. What isn't read from files is written first.
+    """
+    key = [F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+    try:
+        return rows.select("*", *key)
+    except AnalysisException:
+        return stored(rows).select("*", *key)
+
+
 def utf8_bytes(text: str = "text") -> Column:
     """UTF-8 length of a text, 0 for null."""
     return F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long")

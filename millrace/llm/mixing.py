@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import unit, word_count
+from millrace.llm.common import numbered, unit, word_count
 from millrace.llm.sharding import unit_sql
 
 #: Weights of the sources in code-point order, repeating.
@@ -42,13 +42,13 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, budget
 
 
 def mix(
-    docs: DataFrame, seed: str = "mix", quality: str | None = None, weights: tuple = WEIGHTS, most: int = MOST, keep: list[str] | None = None,
+    docs: DataFrame, seed: str = "mix", quality: str | None = None, labels: DataFrame | None = None, weights: tuple = WEIGHTS, most: int = MOST, keep: list[str] | None = None,
     cells: int = 1024,
 ) -> DataFrame:
     """How many words of each document the mixture takes.
 
     ``docs`` has ``doc_id``, ``text``, ``source`` and perhaps a positive
-    ``quality`` column. A target of e whole source sizes and a rest takes every
+    ``quality`` column; otherwise the weight can come from ``labels`` (see ``with_quality``). A target of e whole source sizes and a rest takes every
     document e times (complete epochs) and then, for the rest, whole documents in
     order of an exponential key E / quality, the Efraimidis-Spirakis order, while at least
     half of the next one still fits. So a source misses its target by at most
@@ -67,6 +67,8 @@ def mix(
         "doc_id", F.col("source").alias("_s"), word_count().alias("size"), q.alias("_q"), F.md5(F.coalesce("text", F.lit(""))).alias("_t"),
         F.struct(*keep).alias("_keep") if keep else F.lit(None).alias("_keep"),
     )
+    if labels is not None:
+        rows = with_quality(rows, labels, "_q")
     rows = rows.withColumn("_key", -F.log(unit(seed, F.col("doc_id"), F.col("_t"))) / F.col("_q"))
     rows = rows.withColumn("_cell", F.least(F.floor((1 - F.exp(-F.col("_key"))) * cells), F.lit(cells - 1)).cast("int"))
     by_cell = rows.groupBy("_s", "_cell").agg(F.sum("size").alias("_sum"))
@@ -87,21 +89,29 @@ def mix(
     )
 
 
-def with_quality(docs: DataFrame, labels: DataFrame, good: float = 2.0, poor: float = 0.5) -> DataFrame:
-    """``docs`` with a ``quality`` weight from the labels: ``good``, ``poor``, or 1 where there is none.
+def with_quality(docs: DataFrame, labels: DataFrame, name: str = "quality", good: float = 2.0, poor: float = 0.5) -> DataFrame:
+    """``docs`` with a weight from the labels: ``good``, ``poor``, or 1 where there is none.
 
     A document labelled twice counts as good if any label says so.
     """
     best = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_label_id")).agg(F.max("quality").alias("_label"))
-    rows = docs.join(best, docs["doc_id"] == best["_label_id"], "left")
-    return rows.withColumn("quality", F.when(F.col("_label") == 1, good).when(F.col("_label") == 0, poor).otherwise(1.0)).drop("_label_id", "_label")
+    rows = docs.join(best, F.col("doc_id") == F.col("_label_id"), "left")
+    weight = F.when(F.col("_label") == 1, good).when(F.col("_label") == 0, poor).otherwise(1.0)
+    return rows.withColumn(name, weight).drop("_label_id", "_label")
+
+
+def take(docs: DataFrame, labels: DataFrame | None = None, **how) -> DataFrame:
+    """The mixture itself: each row as often as it is taken, columns unchanged. Texts are shuffled once."""
+    rows = numbered(docs)
+    thin = mix(rows.select("doc_id", "text", "source", "_file", "_row"), labels=labels, keep=["_file", "_row"], **how).where("taken > 0")
+    times = thin.select("_file", "_row", F.explode(F.sequence(F.lit(1).cast("long"), (F.col("taken") / F.col("size")).cast("long"))).alias("_copy"))
+    return rows.join(times, ["_file", "_row"]).select(*docs.columns)
 
 
 def op9_mix(spark, sf_dir: str) -> DataFrame:
     """All documents, weighted by the quality labels."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    docs = docs.select("doc_id", "source", "text")
-    return mix(with_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), quality="quality")
+    return mix(docs, labels=spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def mix_sql(rows: str, seed: str = "mix") -> str:

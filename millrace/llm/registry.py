@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from millrace.llm import decontaminate, line_dedup, mixing, repeats, sharding, simhash
+from millrace.llm import decontaminate, language, line_dedup, mixing, neighbours, pseudonyms, repeats, sharding, simhash, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_feistel": pseudonyms.op1_feistel,
+        "op2_projected_tree": neighbours.op2_projected_tree,
         "op3_spaced_seeds": decontaminate.op3_spaced_seeds,
         "op4_line_join": line_dedup.op4_line_join,
+        "op5_machine": toxicity.op5_machine,
+        "op6_unigram": language.op6_unigram,
         "op7_suffix_radix": repeats.op7_suffix_radix,
         "op8_interleave": sharding.op8_interleave,
         "op9_mix": mixing.op9_mix,

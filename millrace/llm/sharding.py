@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import unit, utf8_bytes
+from millrace.llm.common import numbered, unit, utf8_bytes
 
 
 def _numbered(rows: DataFrame, group: list[str], spot: Column, order: list[str], cells: int) -> DataFrame:
@@ -64,6 +64,13 @@ def shard(
     )
 
 
+def deal(docs: DataFrame, shards: int = 40, **how) -> DataFrame:
+    """``docs`` with ``shard`` and ``slot`` added. Texts are shuffled once."""
+    rows = numbered(docs)
+    place = shard(rows.select("doc_id", "text", "source", "_file", "_row"), shards, keep=["_file", "_row"], **how)
+    return rows.join(place.drop("doc_id"), ["_file", "_row"]).select(*docs.columns, "shard", "slot")
+
+
 def op8_interleave(spark, sf_dir: str) -> DataFrame:
     """All documents in 40 shards by the ``rows`` law."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import stored
+from millrace.llm.common import numbered, stored
 from millrace.llm.components import components
 from millrace.llm.keyed import key_groups
 
@@ -185,20 +185,33 @@ def links(nodes: DataFrame, distance: int = 2, small: int = SMALL, large: int =
     return out
 
 
-def near_groups(docs: DataFrame, words: int = 3, distance: int = 2) -> DataFrame:
-    """``doc_id``, ``fp`` and ``component_id``: the least doc_id reachable over links between near fingerprints.
+def near_groups(docs: DataFrame, words: int = 3, distance: int = 2, keep: list[str] | None = None) -> DataFrame:
+    """``doc_id``, ``fp``, ``component_id`` and the columns in ``keep``. The component's id is the least doc_id reachable over links between near fingerprints.
 
     Null and blank texts have fingerprint 0 and are linked like any other. Rows
     with a null id link but never name a component, unless it has no id at all
     (then null). Equal ids with unlike texts each keep their own row. An empty table gives an empty table.
     """
-    prints = stored(fingerprints(docs.select("doc_id", "text"), words))
+    keep = keep or []
+    prints = stored(fingerprints(docs.select("doc_id", "text", *keep), words))
     nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(nodes.select(F.col("fp").alias("id"), "fp"), distance))
     grouped = nodes.join(roots, nodes["fp"] == roots["id"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = grouped.join(least, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    by_print = grouped.join(least, "root").select("fp", "component_id", "root")
+    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id", *keep, *(["root"] if keep else []))
+
+
+def drop_near(docs: DataFrame, **how) -> DataFrame:
+    """``docs`` with one row of each component: that of the least doc_id (of repeated ones, the first in the files).
+
+    Columns are unchanged, texts are shuffled once.
+    """
+    rows = numbered(docs)
+    groups = near_groups(rows.select("doc_id", "text", "_file", "_row"), keep=["_file", "_row"], **how)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_file", "_row")).alias("one")
+    ones = groups.groupBy("root").agg(first).select("one._file", "one._row")
+    return rows.join(ones, ["_file", "_row"], "left_semi").select(*docs.columns)
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
