@@ -6,6 +6,7 @@ import base64
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -15,9 +16,9 @@ from pyspark.sql import functions as F
 #: The public vocabulary: a rank file of byte pieces. Read on the driver only.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: At most so many documents of a language are learned from, the first by a hash, and of texts of at most so many bytes.
-TRAIN_DOCS, TRAIN_BYTES = 400, 100_000
+TRAIN_DOCS, TRAIN_BYTES = 250, 100_000
 #: Runs of letters are cut after so many bytes; pieces are at most so long.
-RUN, PIECE = 48, 12
+RUN, PIECE = 48, 8
 #: Words whose scores a worker remembers.
 CACHE = 400_000
 UNKNOWN = "und"
@@ -37,14 +38,18 @@ def vocabulary(path: str = VOCABULARY) -> list[bytes]:
     return sorted({p for p in pieces if len(p) <= PIECE} | {bytes([b]) for b in range(256)})
 
 
+def _cut(word: str) -> list[bytes]:
+    """A word's units: its UTF-8 with a space before it, cut after RUN bytes."""
+    raw = (" " + word).encode("utf-8", "surrogatepass")
+    return [raw] if len(raw) <= RUN else [raw[i : i + RUN] for i in range(0, len(raw), RUN)]
+
+
 def units(text: str) -> Counter:
-    """What is scored: each run of letters in lower case, with a space before it, as UTF-8, and how often it occurs."""
-    counts = Counter(LETTERS.findall(text.lower()))
+    """What is scored, and how often it occurs: the units of each run of letters in lower case."""
     out: Counter = Counter()
-    for word, n in counts.items():
-        raw = (" " + word).encode("utf-8", "surrogatepass")
-        for i in range(0, len(raw), RUN):
-            out[raw[i : i + RUN]] += n
+    for word, n in Counter(LETTERS.findall(text.lower())).items():
+        for u in _cut(word):
+            out[u] += n
     return out
 
 
@@ -56,10 +61,11 @@ class Lattice:
         by_length: dict[int, list[int]] = {}
         for k, u in enumerate(found):
             by_length.setdefault(len(u), []).append(k)
-        get, none = index.get, len(index)
+        none = len(index)
         for n, rows in by_length.items():
             spans = [(i, j) for j in range(1, n + 1) for i in range(max(0, j - PIECE), j)]
-            ids = np.array([[get(u[i:j], none) for i, j in spans] for u in (found[k] for k in rows)], dtype=np.int32)
+            cuts = [slice(i, j) for i, j in spans]
+            ids = np.array([list(map(index.get, map(found[k].__getitem__, cuts), repeat(none))) for k in rows], dtype=np.int32)
             self.groups.append((n, np.array(rows), spans, ids))
 
     def forward(self, probs: np.ndarray) -> np.ndarray:
@@ -127,20 +133,26 @@ class Scorer:
         self.known: dict[bytes, int] = {}
         self.rows = np.empty((CACHE, len(langs)))
 
+    def _learn(self, words: list[str]) -> None:
+        """Rows for words not met before: the sums over their units."""
+        for i in range(0, len(words), 20_000):
+            some = words[i : i + 20_000]
+            cut = [_cut(w) for w in some]
+            logs = Lattice([u for c in cut for u in c], self.index).forward(self.probs)
+            start, n = np.cumsum([0, *map(len, cut)]), len(self.known)
+            while n + len(some) > len(self.rows):
+                self.rows = np.concatenate((self.rows, np.empty_like(self.rows)))
+            self.rows[n : n + len(some)] = np.add.reduceat(logs, start[:-1])
+            self.known.update(zip(some, range(n, n + len(some)), strict=True))
+
     def scores(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
         """The likeliest language and its posterior probability under even priors."""
-        bags = [units(t) if t else Counter() for t in texts]
-        new = list({u for b in bags for u in b if u not in self.known})
+        bags = [Counter(LETTERS.findall(t.lower())) if t else {} for t in texts]
+        new = set().union(*bags).difference(self.known)
         if len(self.known) + len(new) > CACHE:
             self.known = {}
-            new = list({u for b in bags for u in b})
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            logs = Lattice(some, self.index).forward(self.probs)
-            if len(self.known) + len(some) > len(self.rows):
-                self.rows = np.concatenate((self.rows, np.empty_like(self.rows)))
-            self.rows[len(self.known) : len(self.known) + len(some)] = logs
-            self.known.update(zip(some, range(len(self.known), len(self.known) + len(some)), strict=True))
+            new = set().union(*bags)
+        self._learn(list(new))
         for b in bags:
             if not b or not self.langs:
                 yield UNKNOWN, 0.0
@@ -158,6 +170,8 @@ def train(docs: DataFrame, vocabulary_path: str = VOCABULARY, train_docs: int =
     rows = rows.select("lang", F.md5("text").alias("h"), "text")
     # a share by hash of each language, so that a common one is no hot group; its least hashes are then chosen
     firsts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    if firsts.limit(10_001).count() <= 10_000:
+        firsts = F.broadcast(firsts)
     share = rows.join(firsts, "lang").where(
         F.conv(F.substring("h", 1, 8), 16, 10).cast("double") / float(1 << 32) < F.lit(1.5 * train_docs) / F.col("n")
     )
