@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from millrace.llm.language import LETTERS, held_out
 
 #: Labelled documents that are learned from at most, the first by a hash, and the rank of the interactions.
-TRAIN_DOCS, RANK = 12_000, 6
+TRAIN_DOCS, RANK = 8_000, 6
 #: A term is learned if so many documents of the sample have it; at most so many terms, the most telling ones.
 LEAST_DOCS, TERMS = 3, 30_000
 THRESHOLD = 0.3
