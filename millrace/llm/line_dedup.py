@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import stored
+from millrace.llm.common import release, stored
 from millrace.llm.decontaminate import tokens
 
 #: Jaccard of at least UP / DOWN = 0.8, in whole numbers.
 UP, DOWN = 4, 5
+#: Hash buckets (as a power of two) by which the rarity of tokens is counted.
+BITS = 18
 #: Places of lines sent to every task at most (some 16 MB).
 BROADCAST_ROWS = 500_000
 
@@ -22,7 +24,7 @@ def lines(docs: DataFrame) -> DataFrame:
 def rarity(docs: DataFrame, bits: int) -> DataFrame:
     """One row with an array of 2^bits counts: how many tokens of all texts fall to each hash bucket.
 
-    Its size follows ``bits`` alone (4 to 8 MB at 20), whatever the input.
+    Its size follows ``bits`` alone (1 to 2 MB at 18), whatever the input.
     """
     slot = F.pmod(F.xxhash64("w"), F.lit(1 << bits)).alias("i")
     counts = docs.select(F.explode(tokens("text")).alias("w")).groupBy(slot).agg(F.count("*").alias("n"))
@@ -43,32 +45,40 @@ def _codes(counts: Column, bits: int) -> Column:
     return F.sort_array(F.transform(F.transform(F.col("words"), lambda w: F.xxhash64(w)), code))
 
 
-def classes(docs: DataFrame, bits: int = 20) -> DataFrame:
-    """Lines of the same token set as one: its size ``n``, its first place and the ``prefix`` of codes.
+def classes(docs: DataFrame, bits: int = BITS) -> DataFrame:
+    """Lines of the same token set as one: its size ``n``, ``id``, first place, ``prefix`` of codes and ``sig``.
 
     A prefix has n - ceil(0.8 n) + 1 codes: sets that reach the threshold share one.
+    Bit b of the signature is the parity of the number of tokens that hash to b.
     """
     rows = lines(docs).where(F.col("line").rlike(r"[\p{L}\p{N}]"))
     rows = rows.select("doc_id", "line_no", F.array_distinct(tokens("line")).alias("words")).withColumn("n", F.size("words"))
     # the optimizer puts the subquery's value in the place of the column, so that no row carries it
-    rows = rows.withColumn("counts", rarity(docs, bits).scalar()).withColumn("codes", _codes(F.col("counts"), bits)).drop("counts")
+    rows = rows.withColumn("counts", rarity(docs, bits).scalar()).withColumn("codes", _codes(F.col("counts"), bits)).drop("counts", "words")
     prefix = F.slice("codes", F.lit(1), F.col("n") - F.ceil(F.col("n") * UP / DOWN).cast("int") + 1)
-    rows = rows.select("n", F.xxhash64("codes").alias("h1"), F.xxhash64(F.lit(1), "codes").alias("h2"), F.struct("doc_id", "line_no", prefix.alias("prefix")).alias("at"))
-    return rows.groupBy("n", "h1", "h2").agg(F.min("at").alias("at")).select("n", "h1", "h2", "at.*")
+    sig = F.expr("aggregate(codes, 0L, (s, c) -> s ^ shiftleft(1L, cast(c & 63L as int)))")
+    rows = rows.select("n", F.xxhash64("codes").alias("id"), F.xxhash64(F.lit(1), "codes").alias("h2"), F.struct("doc_id", "line_no", prefix.alias("prefix"), sig.alias("sig")).alias("at"))
+    return rows.groupBy("n", "id", "h2").agg(F.min("at").alias("at")).select("n", "id", "at.*")
 
 
 def candidates(sets: DataFrame) -> DataFrame:
-    """Pairs of classes (``late``, ``early`` places) that pass the prefix, length and positional filters."""
-    rows = sets.where("n > 3").select("n", F.struct("doc_id", "line_no").alias("at"), F.posexplode("prefix").alias("i", "code"))
-    a, b = rows.toDF("n1", "late", "i1", "code"), rows.toDF("n2", "early", "i2", "code")
-    both = F.least(F.col("n1") - F.col("i1"), F.col("n2") - F.col("i2"))
-    # an overlap of t / (1 + t) of both sizes makes a Jaccard of t
-    need = (F.col("n1") + F.col("n2")) * UP / (UP + DOWN)
-    near = (F.col("n1") * DOWN >= F.col("n2") * UP) & (F.col("n2") * DOWN >= F.col("n1") * UP)
-    return a.join(b, "code").where((F.col("early") < F.col("late")) & near & (both >= need)).select("late", "early").distinct()
+    """Pairs of classes (``x``, ``y``) that pass the prefix, length, positional and signature filters."""
+    rows = sets.where("n > 3").select("id", "n", "sig", F.posexplode("prefix").alias("i", "code"))
+    rows = rows.select("code", "id", "sig", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("i")).alias("m"))
+    a, b = rows.toDF("code", "x", "sig1", "m1"), rows.toDF("code", "y", "sig2", "m2")
+    n1, n2 = F.shiftright("m1", 32), F.shiftright("m2", 32)
+    left1, left2 = n1 - F.col("m1").bitwiseAND(F.lit(0xFFFFFFFF)), n2 - F.col("m2").bitwiseAND(F.lit(0xFFFFFFFF))
+    # an overlap of t / (1 + t) of both sizes makes a Jaccard of t, and leaves (1 - t) / (1 + t) of them unlike
+    alike = (
+        (n1 * DOWN >= n2 * UP)
+        & (n2 * DOWN >= n1 * UP)
+        & (F.bit_count(F.col("sig1").bitwiseXOR(F.col("sig2"))) * (UP + DOWN) <= (n1 + n2) * (DOWN - UP))
+        & (F.least(left1, left2) * (UP + DOWN) >= (n1 + n2) * UP)
+    )
+    return a.join(b, "code").where((F.col("x") < F.col("y")) & alike).select("x", "y").distinct()
 
 
-def kept_lines(docs: DataFrame, bits: int = 20, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def kept_lines(docs: DataFrame, bits: int = BITS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``doc_id``, ``line_no`` of the lines that stay, lines without tokens aside.
 
     A line goes if any earlier one (by doc_id, then place) has a Jaccard of 0.8
@@ -79,16 +89,18 @@ def kept_lines(docs: DataFrame, bits: int = 20, broadcast_rows: int = BROADCAST_
     docs = docs.select("doc_id", "text")
     sets = stored(classes(docs, bits))
     pairs = stored(candidates(sets))
-    wanted = pairs.select(F.col("late").alias("at")).union(pairs.select("early")).distinct().select("at.*")
-    wanted = wanted.toDF("_d", "_l")
-    if wanted.limit(broadcast_rows + 1).count() <= broadcast_rows:
+    release(docs.sparkSession)
+    ids = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
+    wanted = sets.join(ids, "id", "left_semi").select(F.col("doc_id").alias("_d"), F.col("line_no").alias("_l"), "id")
+    if ids.limit(broadcast_rows + 1).count() <= broadcast_rows:
         wanted = F.broadcast(wanted)
-    texts = lines(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("line_no") == F.col("_l")), "left_semi")
-    texts = texts.select(F.struct("doc_id", "line_no").alias("at"), F.array_distinct(tokens("line")).alias("words"))
-    a, b = texts.toDF("late", "w1"), texts.toDF("early", "w2")
-    shared = F.size(F.array_intersect("w1", "w2"))
-    alike = shared * (UP + DOWN) >= (F.size("w1") + F.size("w2")) * UP
-    gone = pairs.join(a, "late").join(b, "early").where(alike).select(F.col("late.doc_id").alias("_d"), F.col("late.line_no").alias("_l")).distinct()
+    texts = lines(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("line_no") == F.col("_l")))
+    texts = texts.select("id", F.struct("doc_id", "line_no").alias("at"), F.transform(F.array_distinct(tokens("line")), lambda w: F.xxhash64(w)).alias("words"))
+    a, b = texts.toDF("x", "at1", "w1"), texts.toDF("y", "at2", "w2")
+    alike = F.size(F.array_intersect("w1", "w2")) * (UP + DOWN) >= (F.size("w1") + F.size("w2")) * UP
+    late = F.when(F.col("at1") > F.col("at2"), F.col("at1")).otherwise(F.col("at2"))
+    gone = pairs.join(a, "x").join(b, "y").where(alike).select(late.alias("late")).distinct()
+    gone = gone.select(F.col("late.doc_id").alias("_d"), F.col("late.line_no").alias("_l"))
     return sets.select("doc_id", "line_no").join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("line_no") == F.col("_l")), "left_anti")
 
 
