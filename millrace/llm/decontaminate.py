@@ -18,6 +18,11 @@ def tokens(text: str) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), BREAK), "")
 
 
+def _hashed(words: Column) -> Column:
+    """Tokens as 64-bit hashes, made once for all masks."""
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
 def _seed(mask: str, number: int, words: str, at: Column) -> Column:
     """Hash of the masked tokens from ``at`` on; null where the mask runs over the end."""
     picked = [F.get(F.col(words), at + i) for i, bit in enumerate(mask) if bit == "1"]
@@ -27,7 +32,8 @@ def _seed(mask: str, number: int, words: str, at: Column) -> Column:
 def _seeded(rows: DataFrame, words: str, masks: tuple) -> DataFrame:
     """Adds ``at`` and ``h`` for every position and mask; ``m`` is the mask's number."""
     short = min(map(len, masks))
-    rows = rows.where(F.size(words) >= short).withColumn("at", F.explode(F.sequence(F.lit(0), F.size(words) - short)))
+    # a condition on the sequence and not a filter, which would make the tokens twice
+    rows = rows.withColumn("at", F.explode(F.when(F.size(words) >= short, F.sequence(F.lit(0), F.size(words) - short))))
     seeds = [_seed(m, i, words, F.col("at")) for i, m in enumerate(masks)]
     return rows.select("*", F.posexplode(F.array(*seeds)).alias("m", "h")).where("h IS NOT NULL")
 
@@ -39,7 +45,7 @@ def windows(benchmark: DataFrame, masks: tuple = MASKS, window: int = 20) -> Dat
     ends of the item, and is the whole item if that is shorter. Items of the same
     tokens, and like windows of different items, are one; ``item`` is the least id.
     """
-    items = benchmark.select(tokens("text").alias("words"), F.col("item_id")).groupBy("words").agg(F.min("item_id").alias("item"))
+    items = benchmark.select(_hashed(tokens("text")).alias("words"), F.col("item_id")).groupBy("words").agg(F.min("item_id").alias("item"))
     spans = F.element_at(F.array(*[F.lit(len(m)) for m in masks]), F.col("m") + 1)
     left = F.greatest(F.lit(0), F.least(F.col("at") - F.floor((window - spans) / 2), F.size("words") - window)).cast("int")
     rows = _seeded(items, "words", masks).withColumn("_from", left)
@@ -49,32 +55,39 @@ def windows(benchmark: DataFrame, masks: tuple = MASKS, window: int = 20) -> Dat
 
 def _overlap() -> Column:
     """Share of the window's tokens that the document has at the same places."""
-    agree = F.filter(
-        F.sequence(F.lit(0), F.size("ctx") - 1), lambda i: F.get(F.col("words"), F.col("at") - F.col("off") + i) == F.get(F.col("ctx"), i)
-    )
-    return F.size(agree) / F.size("ctx")
+    agree = F.filter(F.zip_with("own", "due", lambda a, b: a == b), lambda x: x)
+    # the second use of the slice keeps the optimizer from moving it here: cut out within the
+    # join's generated code, it saves copying a document's tokens for each hit
+    return F.when(F.size("own") > 0, F.size(agree)).otherwise(0) / F.size("ctx")
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, masks: tuple = MASKS, window: int = 20, least: float = 0.8, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``doc_id``, ``at``, ``item``, ``overlap`` of each verified hit of a seed.
+def hits(docs: DataFrame, benchmark: DataFrame, masks: tuple = MASKS, window: int = 20, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``doc_id``, ``at``, ``item``, ``overlap`` of each hit of a seed, by whatever it overlaps.
 
     Positions of the documents are joined with the benchmark's seeds and never
     leave their task if the seeds are few enough to be sent there, which is
-    counted first. Otherwise hashes are shuffled, without texts, and the texts of
+    counted first. Otherwise hashes are shuffled, without texts, and the tokens of
     the documents that were hit are joined again.
     """
     seeds = windows(benchmark, masks, window)
     few = seeds.limit(broadcast_rows + 1).count() <= broadcast_rows
+    own = docs.select("doc_id", _hashed(tokens("text")).alias("words"))
     if few:
-        rows = _seeded(docs.select("doc_id", tokens("text").alias("words")), "words", masks).join(F.broadcast(seeds), "h")
+        rows = _seeded(own, "words", masks).join(F.broadcast(seeds), "h")
     else:
-        own = docs.select("doc_id", tokens("text").alias("words")).withColumn("t", F.xxhash64("words"))
+        own = own.withColumn("t", F.xxhash64("words"))
         thin = _seeded(own, "words", masks).select("doc_id", "t", "at", "h").join(seeds, "h").withColumnRenamed("doc_id", "_id").withColumnRenamed("t", "_t")
         rows = thin.join(own.dropDuplicates(["doc_id", "t"]), F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_t") == F.col("t")))
-    return rows.select("doc_id", "at", "item", _overlap().alias("overlap")).where(F.col("overlap") >= least)
+    start = F.col("at") - F.col("off")
+    lack = F.greatest(-start, F.lit(0))
+    rows = rows.select(
+        "doc_id", "at", "item", "ctx", F.slice("words", F.greatest(start, F.lit(0)) + 1, F.lit(window) - lack).alias("own"),
+        F.slice("ctx", lack + 1, F.lit(window)).alias("due"),
+    )
+    return rows.select("doc_id", "at", "item", _overlap().alias("overlap"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, **how) -> DataFrame:
     """``doc_id``, ``n_hits``, ``overlap`` and ``items`` of the documents that hold a benchmark passage.
 
     A document holds one if, around some hit of a seed, at least ``least`` (0.8) of
@@ -83,10 +96,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     Null and empty texts, and an empty benchmark, give no hit; rows of the same doc_id (null
     included) share a verdict.
     """
-    found = hits(docs, benchmark, **how)
-    return found.groupBy("doc_id").agg(
-        F.count("*").alias("n_hits"), F.max("overlap").alias("overlap"), F.array_sort(F.collect_set("item")).alias("items")
+    # judged within the aggregate: as a filter, the overlap would become part of the join
+    good = F.col("overlap") >= least
+    found = hits(docs, benchmark, **how).groupBy("doc_id").agg(
+        F.count(F.when(good, 1)).alias("n_hits"), F.max("overlap").alias("overlap"), F.array_sort(F.collect_set(F.when(good, F.col("item")))).alias("items")
     )
+    return found.where("n_hits > 0")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
