@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import os
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -76,3 +77,14 @@ def release(spark: SparkSession) -> None:
     """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver did, whatever folder they start in.
+
+    On a cluster the package is installed or sent with the job, and this changes nothing.
+    """
+    root, env = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), spark.sparkContext.environment
+    paths = [x for x in env.get("PYTHONPATH", "").split(os.pathsep) if x]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])

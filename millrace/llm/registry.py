@@ -3,10 +3,19 @@
 from __future__ import annotations
 
 from millrace.llm import decontaminate, language, line_dedup, mixing, neighbours, pseudonyms, repeats, sharding, simhash, toxicity
+from millrace.llm.common import importable
+
+
+def _ready(query):
+    def run(spark, sf_dir):
+        importable(spark)
+        return query(spark, sf_dir)
+
+    return run
 
 
 def queries() -> dict:
-    return {
+    found = {
         "op1_feistel": pseudonyms.op1_feistel,
         "op2_projected_tree": neighbours.op2_projected_tree,
         "op3_spaced_seeds": decontaminate.op3_spaced_seeds,
@@ -18,6 +27,7 @@ def queries() -> dict:
         "op9_mix": mixing.op9_mix,
         "op10_simhash": simhash.op10_simhash,
     }
+    return {name: _ready(query) for name, query in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
