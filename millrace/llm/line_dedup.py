@@ -12,7 +12,7 @@ from millrace.llm.decontaminate import tokens
 UP, DOWN = 4, 5
 #: Hash buckets (as a power of two) by which the rarity of tokens is counted.
 BITS = 18
-#: Places of lines sent to every task at most (some 16 MB).
+#: Classes or places of lines sent to every task at most (some 16 MB).
 BROADCAST_ROWS = 500_000
 
 
@@ -26,56 +26,114 @@ def rarity(docs: DataFrame, bits: int) -> DataFrame:
 
     Its size follows ``bits`` alone (1 to 2 MB at 18), whatever the input.
     """
-    slot = F.pmod(F.xxhash64("w"), F.lit(1 << bits)).alias("i")
+    slot = F.xxhash64("w").bitwiseAND(F.lit((1 << bits) - 1)).alias("i")
     counts = docs.select(F.explode(tokens("text")).alias("w")).groupBy(slot).agg(F.count("*").alias("n"))
     every = docs.sparkSession.range(0, 1 << bits, 1, 8).withColumnRenamed("id", "j").join(counts, F.col("i") == F.col("j"), "left")
     pair = F.struct("j", F.least(F.coalesce("n", F.lit(0)), F.lit((1 << 22) - 1)).cast("int").alias("n"))
     return every.agg(F.transform(F.array_sort(F.collect_list(pair)), lambda x: x["n"]).alias("counts"))
 
 
-def _codes(counts: Column, bits: int) -> Column:
+def _codes(hashes: Column, counts: Column, bits: int) -> Column:
     """The line's tokens, rarest first, as longs: the bucket's count above 40 bits of the hash.
 
     Equal tokens have equal codes, so the filters that work on codes lose no pair;
     unlike tokens seldom share one, and the verification doesn't use codes.
     """
-    code = lambda h: F.shiftleft(F.get(counts, F.pmod(h, F.lit(1 << bits)).cast("int")).cast("long"), 40).bitwiseOR(
+    code = lambda h: F.shiftleft(F.get(counts, h.bitwiseAND(F.lit((1 << bits) - 1)).cast("int")).cast("long"), 40).bitwiseOR(
         F.shiftrightunsigned(h, 24)
     )
-    return F.sort_array(F.transform(F.transform(F.col("words"), lambda w: F.xxhash64(w)), code))
+    return F.sort_array(F.transform(hashes, code))
 
 
 def classes(docs: DataFrame, bits: int = BITS) -> DataFrame:
-    """Lines of the same token set as one: its size ``n``, ``id``, first place, ``prefix`` of codes and ``sig``.
+    """Lines of the same token set as one: its size ``n``, ``id``, first place, ``crc``, ``prefix`` of codes, ``sig``, ``low`` and ``high``.
 
     A prefix has n - ceil(0.8 n) + 1 codes: sets that reach the threshold share one.
     Bit b of the signature is the parity of the number of tokens that hash to b.
+    ``low`` and ``high`` are the least and the greatest hash of a token, which sets
+    of Jaccard J share with likelihood J each.
     """
     rows = lines(docs).where(F.col("line").rlike(r"[\p{L}\p{N}]"))
-    rows = rows.select("doc_id", "line_no", F.array_distinct(tokens("line")).alias("words")).withColumn("n", F.size("words"))
+    hashes = F.array_distinct(F.transform(tokens("line"), lambda w: F.xxhash64(w)))
+    rows = rows.select("doc_id", "line_no", F.xxhash64("line").alias("crc"), hashes.alias("hashes")).withColumn("n", F.size("hashes"))
     # the optimizer puts the subquery's value in the place of the column, so that no row carries it
-    rows = rows.withColumn("counts", rarity(docs, bits).scalar()).withColumn("codes", _codes(F.col("counts"), bits)).drop("counts", "words")
+    rows = rows.withColumn("counts", rarity(docs, bits).scalar()).withColumn("codes", _codes(F.col("hashes"), F.col("counts"), bits))
     prefix = F.slice("codes", F.lit(1), F.col("n") - F.ceil(F.col("n") * UP / DOWN).cast("int") + 1)
     sig = F.expr("aggregate(codes, 0L, (s, c) -> s ^ shiftleft(1L, cast(c & 63L as int)))")
-    rows = rows.select("n", F.xxhash64("codes").alias("id"), F.xxhash64(F.lit(1), "codes").alias("h2"), F.struct("doc_id", "line_no", prefix.alias("prefix"), sig.alias("sig")).alias("at"))
+    at = F.struct("doc_id", "line_no", "crc", prefix.alias("prefix"), sig.alias("sig"), F.array_min("hashes").alias("low"), F.array_max("hashes").alias("high"))
+    rows = rows.select("n", F.xxhash64("codes").alias("id"), F.xxhash64(F.lit(1), "codes").alias("h2"), at.alias("at"))
     return rows.groupBy("n", "id", "h2").agg(F.min("at").alias("at")).select("n", "id", "at.*")
 
 
-def candidates(sets: DataFrame) -> DataFrame:
-    """Pairs of classes (``x``, ``y``) that pass the prefix, length, positional and signature filters."""
-    rows = sets.where("n > 3").select("id", "n", "sig", F.posexplode("prefix").alias("i", "code"))
-    rows = rows.select("code", "id", "sig", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("i")).alias("m"))
-    a, b = rows.toDF("code", "x", "sig1", "m1"), rows.toDF("code", "y", "sig2", "m2")
+def _alike(n1: Column, sig1: Column, n2: Column, sig2: Column) -> Column:
+    """The length and signature filters: unlike tokens are at most (1 - t) / (1 + t) of both sizes at a Jaccard of t."""
+    unlike = F.bit_count(sig1.bitwiseXOR(sig2))
+    return (n1 * DOWN >= n2 * UP) & (n2 * DOWN >= n1 * UP) & (unlike * (UP + DOWN) <= (n1 + n2) * (DOWN - UP))
+
+
+def leading(sets: DataFrame) -> DataFrame:
+    """Pairs (``x``, ``y``) of a class and the first one of the same ``low`` and ``high``, or of the same rarest code, if the filters pass them.
+
+    One or two pairs a class, however many are alike: a large group of near copies is
+    settled by its first member, and the join need look only for what earlier lines the rest have.
+    """
+    rows = sets.where("n > 3").select("n", "id", "sig", F.struct("doc_id", "line_no").alias("o"), F.explode(F.array(F.xxhash64("low", "high"), F.get("prefix", F.lit(0)))).alias("key"))
+    first = rows.groupBy("key").agg(F.min(F.struct("o", "id", "n", "sig")).alias("f"), F.count("*").alias("k")).where("k > 1").drop("k")
+    alike = _alike(F.col("f.n"), F.col("f.sig"), F.col("n"), F.col("sig"))
+    return rows.join(first, "key").where((F.col("f.o") < F.col("o")) & alike).select(F.col("f.id").alias("x"), F.col("id").alias("y")).distinct()
+
+
+def candidates(sets: DataFrame, settled: DataFrame) -> DataFrame:
+    """Pairs of classes ``x``, ``y``, not both ``settled`` (an ``id`` each), that pass the prefix, length, positional and signature filters.
+
+    The smaller set of a pair need share one of its first n - ceil(2 t / (1 + t) n) + 1 codes only,
+    as both are at least as large. Settled classes meet only the open ones of no
+    earlier document, so a group of near copies that its first member settled makes no pairs.
+    """
+    # one long holds the size, whether the class is open and the code's place
+    state = (F.shiftleft(F.col("n").cast("long"), 32) + F.when(F.col("s").isNull(), 1 << 31).otherwise(0)).alias("m")
+    rows = sets.where("n > 3").join(settled.select("id", F.lit(True).alias("s")), "id", "left").select("id", "sig", state, F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), "prefix")
+    entries = lambda rows: rows.select("id", "sig", "m", "d", F.posexplode("prefix").alias("i", "code")).select("code", "id", "sig", F.col("m") + F.col("i"), "d")
+    is_open = lambda m: m.bitwiseAND(F.lit(1 << 31)) != 0
+    a = entries(rows).toDF("code", "x", "sig1", "m1", "d1")
+    b = entries(rows.where(is_open(F.col("m")))).toDF("code", "y", "sig2", "m2", "d2")
     n1, n2 = F.shiftright("m1", 32), F.shiftright("m2", 32)
-    left1, left2 = n1 - F.col("m1").bitwiseAND(F.lit(0xFFFFFFFF)), n2 - F.col("m2").bitwiseAND(F.lit(0xFFFFFFFF))
-    # an overlap of t / (1 + t) of both sizes makes a Jaccard of t, and leaves (1 - t) / (1 + t) of them unlike
-    alike = (
-        (n1 * DOWN >= n2 * UP)
-        & (n2 * DOWN >= n1 * UP)
-        & (F.bit_count(F.col("sig1").bitwiseXOR(F.col("sig2"))) * (UP + DOWN) <= (n1 + n2) * (DOWN - UP))
-        & (F.least(left1, left2) * (UP + DOWN) >= (n1 + n2) * UP)
+    i1, i2 = F.col("m1").bitwiseAND(F.lit((1 << 31) - 1)), F.col("m2").bitwiseAND(F.lit((1 << 31) - 1))
+    index = lambda n, i: (n - i) * (UP + DOWN) >= n * 2 * UP
+    # an overlap of t / (1 + t) of both sizes makes a Jaccard of t
+    placed = F.least(n1 - i1, n2 - i2) * (UP + DOWN) >= (n1 + n2) * UP
+    placed &= F.when(n1 <= n2, index(n1, i1)).otherwise(index(n2, i2))
+    # pairs of open classes come both ways round
+    once = F.when(is_open(F.col("m1")), F.col("x") < F.col("y")).otherwise(F.col("d1") <= F.col("d2"))
+    return a.join(b, "code").where(once & placed & _alike(n1, F.col("sig1"), n2, F.col("sig2"))).select("x", "y").distinct()
+
+
+def _few(rows: DataFrame, broadcast_rows: int) -> DataFrame:
+    """``rows`` marked for a broadcast if they are at most so many."""
+    return F.broadcast(rows) if rows.limit(broadcast_rows + 1).count() <= broadcast_rows else rows
+
+
+def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, broadcast_rows: int) -> DataFrame:
+    """``id`` and place of the later one of every pair of ``x`` and ``y`` whose tokens reach the threshold.
+
+    Texts are read again for the classes of the pairs alone, each document's lines cut once.
+    ``crc``, the line's hash, tells rows of the same doc_id apart.
+    """
+    ids = _few(pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct(), broadcast_rows)
+    wanted = sets.join(ids, "id", "left_semi").groupBy(F.col("doc_id").alias("_d")).agg(F.collect_list(F.struct("id", "line_no", "crc")).alias("due"))
+    texts = docs.where("text IS NOT NULL").join(_few(wanted, broadcast_rows // 4), F.col("doc_id").eqNullSafe(F.col("_d")))
+    # the outer transform binds the cut text to a name, else it would be cut anew for each line
+    cut = F.transform(
+        F.array(F.split("text", "\n")),
+        lambda ls: F.transform("due", lambda d: F.struct(d["id"].alias("id"), d["line_no"].alias("line_no"), d["crc"].alias("crc"), F.get(ls, d["line_no"]).alias("line"))),
     )
-    return a.join(b, "code").where((F.col("x") < F.col("y")) & alike).select("x", "y").distinct()
+    texts = texts.select("doc_id", F.explode(F.get(cut, F.lit(0))).alias("e")).select("doc_id", "e.*").where(F.xxhash64("line") == F.col("crc"))
+    texts = texts.select("id", "doc_id", "line_no", F.array_distinct(F.transform(tokens("line"), lambda w: F.xxhash64(w))).alias("words"))
+    texts = texts.select("id", F.struct("doc_id", "line_no", "id").alias("at"), "words")
+    a, b = texts.toDF("x", "at1", "w1"), texts.toDF("y", "at2", "w2")
+    alike = F.size(F.array_intersect("w1", "w2")) * (UP + DOWN) >= (F.size("w1") + F.size("w2")) * UP
+    apart = ~F.col("at1.doc_id").eqNullSafe(F.col("at2.doc_id")) | (F.col("at1.line_no") != F.col("at2.line_no"))
+    return pairs.join(a, "x").join(b, "y").where(apart & alike).select(F.greatest("at1", "at2").alias("late")).distinct().select("late.*")
 
 
 def kept_lines(docs: DataFrame, bits: int = BITS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -84,23 +142,18 @@ def kept_lines(docs: DataFrame, bits: int = BITS, broadcast_rows: int = BROADCAS
     A line goes if any earlier one (by doc_id, then place) has a Jaccard of 0.8
     or more with it, as sets of lower-case tokens; an earlier line counts
     whether or not it stays itself. Rows of the same doc_id count as one
-    document; a null doc_id comes first.
+    document, and lines at the same place of it don't remove each other; a null
+    doc_id comes first.
     """
     docs = docs.select("doc_id", "text")
     sets = stored(classes(docs, bits))
-    pairs = stored(candidates(sets))
+    leads = stored(leading(sets))
     release(docs.sparkSession)
-    ids = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
-    wanted = sets.join(ids, "id", "left_semi").select(F.col("doc_id").alias("_d"), F.col("line_no").alias("_l"), "id")
-    if ids.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        wanted = F.broadcast(wanted)
-    texts = lines(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("line_no") == F.col("_l")))
-    texts = texts.select("id", F.struct("doc_id", "line_no").alias("at"), F.transform(F.array_distinct(tokens("line")), lambda w: F.xxhash64(w)).alias("words"))
-    a, b = texts.toDF("x", "at1", "w1"), texts.toDF("y", "at2", "w2")
-    alike = F.size(F.array_intersect("w1", "w2")) * (UP + DOWN) >= (F.size("w1") + F.size("w2")) * UP
-    late = F.when(F.col("at1") > F.col("at2"), F.col("at1")).otherwise(F.col("at2"))
-    gone = pairs.join(a, "x").join(b, "y").where(alike).select(late.alias("late")).distinct()
-    gone = gone.select(F.col("late.doc_id").alias("_d"), F.col("late.line_no").alias("_l"))
+    settled = stored(verified(docs, sets, leads, broadcast_rows))
+    release(docs.sparkSession)
+    pairs = stored(candidates(sets, _few(settled.select("id"), broadcast_rows)))
+    release(docs.sparkSession)
+    gone = settled.union(verified(docs, sets, pairs, broadcast_rows)).select(F.col("doc_id").alias("_d"), F.col("line_no").alias("_l"))
     return sets.select("doc_id", "line_no").join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("line_no") == F.col("_l")), "left_anti")
 
 
@@ -114,7 +167,8 @@ def dedup_lines(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with the texts of the lines that stay; a document without any has an empty text, a null stays null."""
     kept = _kept_by_doc(docs, **how)
     rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
-    text = F.array_join(F.transform(F.coalesce("kept", F.array().cast("array<int>")), lambda i: F.get(F.split("text", "\n"), i)), "\n")
+    due = F.coalesce("kept", F.array().cast("array<int>"))
+    text = F.get(F.transform(F.array(F.split("text", "\n")), lambda ls: F.array_join(F.transform(due, lambda i: F.get(ls, i)), "\n")), F.lit(0))
     return rows.withColumn("text", F.when(F.col("text").isNotNull(), text)).select(*docs.columns)
 
 
