@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import os
+import time
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -74,9 +75,12 @@ def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of plans that nothing refers to any more.
 
     It does so when the driver collects garbage, which a small driver load would put off for long.
+    What the first round finds frees more for the second, and the files go a moment later.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
 
 
 def importable(spark: SparkSession) -> None:
