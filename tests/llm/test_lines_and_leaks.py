@@ -40,6 +40,15 @@ def test_lines(spark, broadcast_rows):
     assert L.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_shared_ids_and_groups(spark):
+    words = [f"w{i}" for i in range(20)]
+    group = [(i, " ".join(words[:j] + [f"x{i}"] + words[j + 1 :])) for i, j in zip(range(10, 40), list(range(20)) * 2)]
+    docs = [(1, " ".join(words)), (1, " ".join(words[:19])), (1, "quite another line of words"), *group]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.text) for r in L.dedup_lines(df, bits=6).collect())
+    assert got == sorted(docs[:3] + [(i, "") for i, _ in group])
+
+
 ITEM = "the quick brown fox jumps over the lazy dog while seven wizards brew some potions in a very dark old castle tonight"
 
 
