@@ -17,6 +17,8 @@ from millrace.llm.keyed import key_groups
 CHUNK = 1 << 18
 #: Anchors of one gram, and contexts of one gram, that a task holds; more are worked on by shuffled aggregates.
 LARGE, CONTEXTS = 500_000, 100_000
+#: Hashes of windows that a task holds at a time (13 MB).
+HELD = 1 << 21
 
 _rng = np.random.default_rng(7)
 _BYTE = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -184,21 +186,20 @@ def _context_rows(depth: int, gram: int):
     return run
 
 
-def _window_hashes(g: np.ndarray, p: np.ndarray, ctx: np.ndarray, depth: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of the gram and each window that holds it, by the window's start before the gram; and which windows there are."""
+def _window_hashes(g: np.ndarray, p: np.ndarray, ctx: np.ndarray, depth: int, gram: int, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of the gram and each window that holds it, for the starts ``c`` (a run) of windows before the gram; and which windows there are."""
     room = depth - gram
     _, left, right = _parts(p)
     wide = depth + room
     up, down = _powers(CHUNK + 4 * depth)
-    hashes, there = np.empty((len(g), room + 1), dtype=np.uint64), np.empty((len(g), room + 1), dtype=bool)
-    c = np.arange(room + 1)
+    hashes, there = np.empty((len(g), len(c)), dtype=np.uint64), np.empty((len(g), len(c)), dtype=bool)
     for i in range(0, len(g), 2048):
         rows = slice(i, min(i + 2048, len(g)))
         flat = b"".join(b"\0" * (room - int(a)) + x + b"\0" * (room - int(b)) for a, b, x in zip(left[rows], right[rows], ctx[rows], strict=True))
         raw = _BYTE[np.frombuffer(flat, dtype=np.uint8).reshape(-1, wide)]
         total = np.zeros((len(raw), wide + 1), dtype=np.uint64)
         np.cumsum(raw * up[:wide], axis=1, out=total[:, 1:])
-        h = _mix((total[:, depth : depth + room + 1] - total[:, : room + 1]) * down[: room + 1])
+        h = _mix((total[:, depth + c[0] : depth + c[-1] + 1] - total[:, c[0] : c[-1] + 1]) * down[c])
         hashes[rows] = _mix(h + g[rows].view(np.uint64)[:, None] * np.uint64(_BASE) + c.astype(np.uint64) * np.uint64(0x81DADEF4BC2DD44D))
         there[rows] = (c >= room - left[rows, None]) & (c <= right[rows, None])
     return hashes, there
@@ -224,17 +225,20 @@ def _edges(depth: int, gram: int, large: int):
             lo = 0
             while lo < len(g):  # some whole groups at a time
                 hi = int(ends[max(np.searchsorted(ends, lo + 8192, "right") - 1, np.searchsorted(ends, lo, "right"))])
-                hashes, there = _window_hashes(g[lo:hi], p[lo:hi], ctx[lo:hi], depth, gram)
-                flat = hashes[there]
-                order = np.sort(flat)
-                twice = order[1:][order[1:] == order[:-1]]
-                twice = twice[np.r_[True, twice[1:] != twice[:-1]]] if len(twice) else twice
                 ask = state[lo:hi] == ASK
-                found = np.zeros((int(ask.sum()), there.shape[1]), dtype=bool)
-                if len(twice) and len(found):
-                    asked = hashes[ask]
-                    spot = np.minimum(np.searchsorted(twice, asked), len(twice) - 1)
-                    found = there[ask] & (twice[spot] == asked)
+                found = np.zeros((int(ask.sum()), depth - gram + 1), dtype=bool)
+                # equal windows start at the same place before the gram: a large group is worked on by some places at a time
+                step = max(1, HELD // (hi - lo))
+                for first in range(0, found.shape[1] if len(found) else 0, step):
+                    c = np.arange(first, min(first + step, found.shape[1]))
+                    hashes, there = _window_hashes(g[lo:hi], p[lo:hi], ctx[lo:hi], depth, gram, c)
+                    order = np.sort(hashes[there])
+                    twice = order[1:][order[1:] == order[:-1]]
+                    twice = twice[np.r_[True, twice[1:] != twice[:-1]]] if len(twice) else twice
+                    if len(twice):
+                        asked = hashes[ask]
+                        spot = np.minimum(np.searchsorted(twice, asked), len(twice) - 1)
+                        found[:, c] = there[ask] & (twice[spot] == asked)
                 rows = _spans(dk[lo:hi][ask], p[lo:hi][ask], found, depth, depth - gram)
                 if len(rows[0]):
                     yield pa.RecordBatch.from_arrays([*map(pa.array, rows), pa.nulls(len(rows[0]), pa.int64())], ["dk", "a", "b", "g"])
@@ -252,7 +256,7 @@ def _window_rows(depth: int, gram: int):
             ctx = np.array([*batch.column("ctx").to_pylist(), None], dtype=object)[:-1]
             for i in range(0, len(g), 2048):
                 s = slice(i, i + 2048)
-                hashes, there = _window_hashes(g[s], p[s], ctx[s], depth, gram)
+                hashes, there = _window_hashes(g[s], p[s], ctx[s], depth, gram, np.arange(depth - gram + 1))
                 row, c = np.nonzero(there)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(hashes[there].view(np.int64)), pa.array(dk[s][row]), pa.array((p[s][row] >> 24) - (depth - gram) + c)], ["h", "dk", "a"])

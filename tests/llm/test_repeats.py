@@ -45,6 +45,21 @@ def test_matches_brute_force(spark, seed, depth, how, monkeypatch):
     assert len(got) == len(t) and not bad, (len(bad), bad[:3])
 
 
+def test_large_groups_by_some_places_at_a_time(spark, monkeypatch):
+    t = texts(8, 60, 24, "abé")
+    raw = [(i, int(i), x.encode()) for i, x in enumerate(t) if x]
+    docs = spark.createDataFrame([(i, x.decode()) for i, _, x in raw], "doc_id long, text string")
+    rows = docs.selectExpr("doc_id AS dk", "text").mapInArrow(repeats._anchor_rows(24, 12), "dk long, p long, g long, kl long, kr long")
+    ends = rows.repartition(1).sortWithinPartitions("g").mapInArrow(repeats._ends(12, 1000), "g long, dk long, p long, kl long, kr long, state int").where("state > 0")
+    asked = ends.groupBy("dk").agg(repeats.F.collect_list(repeats.F.struct("g", "p", "state")).alias("asked"))
+    ctx = docs.join(asked, docs.doc_id == asked.dk).select("dk", "text", "asked").mapInArrow(repeats._context_rows(24, 12), "g long, dk long, p long, state int, ctx binary")
+    batches = ctx.orderBy("g").toArrow().to_batches()
+    spans = lambda: sorted(tuple(r.values()) for b in repeats._edges(24, 12, 1000)(iter(batches)) for r in b.select(["dk", "a", "b"]).to_pylist())
+    whole = spans()
+    monkeypatch.setattr(repeats, "HELD", 30)
+    assert whole and spans() == whole
+
+
 def test_long_text_in_chunks(monkeypatch):
     rng = random.Random(6)
     text = bytes(rng.randrange(97, 100) for _ in range(5000))
