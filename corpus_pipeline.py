@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontaminate, language, mixing, sharding, simhash
+from millrace.llm import decontaminate, language, mixing, near_copies, sharding
 from millrace.llm.common import importable, stored
 
 
@@ -18,8 +18,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by near fingerprints (three words, two bits) the one of the least doc_id stays."""
-    return simhash.drop_near(docs, words=3, distance=2)
+    """Documents of which an earlier one is a near copy (five-word shingles, Jaccard 0.8 or more) go."""
+    return near_copies.drop_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language ID", language_id),
-    ("SimHash near-dedup", near_dedup),
+    ("near-dedup", near_dedup),
     ("benchmark decontamination", decontamination),
     ("mixing", mixture),
     ("sharding", shards),
