@@ -165,11 +165,12 @@ class Scorer:
 
 
 def train(docs: DataFrame, vocabulary_path: str = VOCABULARY, train_docs: int = TRAIN_DOCS) -> tuple[list[str], list[bytes], np.ndarray]:
-    """A model from a bounded sample: of each language the ``train_docs`` documents that come first by a hash of the text."""
+    """A model from a bounded sample: of each language the ``train_docs`` documents that come first by a hash of the text, copies counted once."""
     rows = docs.where(~held_out() & F.col("lang").isNotNull() & (F.octet_length("text") <= TRAIN_BYTES)).select("lang", "text")
     rows = rows.select("lang", F.md5("text").alias("h"), "text")
     # a share by hash of each language, so that a common one is no hot group; its least hashes are then chosen
-    firsts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    # of the language's distinct texts, so that many copies of one don't empty its sample
+    firsts = rows.select("lang", F.xxhash64("text").alias("t")).distinct().groupBy("lang").agg(F.count("*").alias("n"))
     if firsts.limit(10_001).count() <= 10_000:
         firsts = F.broadcast(firsts)
     share = rows.join(firsts, "lang").where(
