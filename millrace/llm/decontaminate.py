@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import numbered
+
 #: Fixed masks of weight 6: 1 marks a token position that must agree, 0 one that is ignored.
 MASKS = ("1110111", "11011011", "11001010011")
 #: What parts tokens: everything but letters and digits.
@@ -110,6 +112,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
 
 
+def clean_rows(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
+    """As ``decontaminate``, but each row is judged by itself, whatever its doc_id."""
+    rows = numbered(docs)
+    bad = contaminated(rows.select(F.struct("_file", "_row").alias("doc_id"), "text"), benchmark, **how).select("doc_id.*")
+    return rows.join(bad, ["_file", "_row"], "left_anti").select(*docs.columns)
+
+
 def op3_spaced_seeds(spark, sf_dir: str) -> DataFrame:
     """The verdict on every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
