@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 #: The public vocabulary: a rank file of byte pieces. Read on the driver only.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: At most so many documents of a language are learned from, the first by a hash, and of texts of at most so many bytes.
-TRAIN_DOCS, TRAIN_BYTES = 250, 100_000
-#: Runs of letters are cut after so many bytes; pieces are at most so long.
-RUN, PIECE = 48, 8
+TRAIN_DOCS, TRAIN_BYTES = 400, 100_000
+#: Runs of letters are cut after so many bytes; pieces are at most so long (the vocabulary's longest have 33).
+RUN, PIECE = 48, 33
 #: Words whose scores a worker remembers.
 CACHE = 400_000
 UNKNOWN = "und"
