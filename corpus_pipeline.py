@@ -18,7 +18,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which an earlier one is a near copy (five-word shingles, Jaccard 0.8 or more) go."""
+    """One document of each group of near copies (five-word shingles, Jaccard 0.8 or more) stays, the one of least doc_id."""
     return near_copies.drop_copies(docs)
 
 
@@ -39,7 +39,7 @@ def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language ID", language_id),
-    ("near-dedup", near_dedup),
+    ("SimHash near-dedup", near_dedup),
     ("benchmark decontamination", decontamination),
     ("mixing", mixture),
     ("sharding", shards),
