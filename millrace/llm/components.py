@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import stored
+from millrace.llm.common import discard, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -33,7 +33,8 @@ def components(links: DataFrame) -> DataFrame:
     edges = stored(links.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = None
     while True:
-        edges = stored(_small_star(_large_star(edges)))
+        last, edges = edges, stored(_small_star(_large_star(edges)))
+        discard(last)
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == mark or not now[0]:
             return edges.select(F.col("a").alias("id"), F.col("b").alias("root")).union(

@@ -1,4 +1,9 @@
-"""Near copies of whole documents by an exact set-similarity join of word shingles."""
+"""Near copies of whole documents: SimHash links, completed by an exact join of word shingles.
+
+SimHash alone can't serve a Jaccard of 0.8: such texts lie some 10 of 64 bits apart, and up to 17,
+where segments of at most one unlike bit are too short to tell texts apart. So SimHash finds
+the close copies, and what it leaves is found by shingles.
+"""
 
 from __future__ import annotations
 
@@ -11,11 +16,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from millrace.llm.common import numbered, release, stored
-from millrace.llm.line_dedup import BITS, BROADCAST_ROWS, DOWN, UP, _few, candidates
+from millrace.llm.common import discard, numbered, stored
+from millrace.llm.components import components
+from millrace.llm.line_dedup import BITS, BROADCAST_ROWS, DOWN, UP, _alike, _few
+from millrace.llm.simhash import links
 
-#: Words of a shingle.
-WORDS = 5
+#: Words of a shingle, and bits of a fingerprint that SimHash links may differ by.
+WORDS, DISTANCE = 5, 3
+#: Classes of a component that count as many: within one of more, no pairs are made.
+MANY = 64
 #: Least hashes under so many orders, of which a class and the first of its bucket must share AGREE to be compared.
 ORDERS, AGREE = 8, 4
 _ODD = np.array([xxhash.xxh64_intdigest(bytes([i])) | 1 for i in range(ORDERS)], dtype=np.uint64)
@@ -40,8 +49,16 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(out ^ (out >> np.uint64(32)))
 
 
+def _print(s: np.ndarray) -> int:
+    """The SimHash of a set of shingles: a bit is 1 if it is set in over half of them."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(s), 1 << 16):
+        ones += np.unpackbits(s[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(s), bitorder="little").view("<i8")[0])
+
+
 def _sketched(rows: DataFrame, words: int, bits: int) -> DataFrame:
-    """``id``, ``n`` and ``low`` (least hashes) of each row's shingle set; other rows (null ``id``) hold how many shingles of a task fall to a ``slot``."""
+    """``id``, ``n``, ``fp`` and ``low`` (least hashes) of each row's shingle set; other rows (null ``id``) hold how many shingles of a task fall to a ``slot``."""
     order = [c for c in rows.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,20 +67,20 @@ def _sketched(rows: DataFrame, words: int, bits: int) -> DataFrame:
             sets = [shingles(t.as_py(), words) for t in batch.column("text")]
             ids, lows = [], []
             for s in sets:
-                np.add.at(counts, s & np.uint64((1 << bits) - 1), 1)
+                np.add.at(counts, s >> np.uint64(64 - bits), 1)
                 ids.append(xxhash.xxh64_intdigest(s.tobytes()))
                 lows.append([int((s * odd).min()) >> 1 for odd in _ODD] if len(s) else [])
             none = pa.nulls(len(sets), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in order], pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(list(map(len, sets)), pa.int64()),
-                 pa.array(lows, pa.list_(pa.int64())), none, none], names)
+                 pa.array(list(map(_print, sets)), pa.int64()), pa.array(lows, pa.list_(pa.int64())), none, none], names)
         at = np.flatnonzero(counts)
         for i in range(0, len(at), 1 << 16):
             some = at[i : i + (1 << 16)]
             empty = [pa.nulls(len(some), f) for f in kinds]
             yield pa.RecordBatch.from_arrays([*empty, pa.array(some), pa.array(counts[some])], names)
 
-    own = "id long, n long, low array<long>, slot long, count long"
+    own = "id long, n long, fp long, low array<long>, slot long, count long"
     schema = rows.select(*order).schema
     for field in rows.sparkSession.createDataFrame([], own).schema:
         schema = schema.add(field)
@@ -75,22 +92,24 @@ def _sketched(rows: DataFrame, words: int, bits: int) -> DataFrame:
 
 
 def _prefixed(rows: DataFrame, counts: np.ndarray, words: int, bits: int) -> DataFrame:
-    """``id``, ``prefix`` of rarity codes and ``sig`` (as in ``line_dedup``) from ``id`` and ``text``."""
-    rare = rows.sparkSession.sparkContext.broadcast(np.minimum(counts, (1 << 22) - 1).astype(np.uint32))
+    """``id``, ``prefix`` of rarity codes, ``s0`` and ``s1`` (as in ``line_dedup``) from ``id`` and ``text``."""
+    levels = np.floor(2 * np.log2(np.maximum(counts, 1))).astype(np.uint64)
+    rare = rows.sparkSession.sparkContext.broadcast(levels.astype(np.uint8))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prefix, sig = [], np.zeros(batch.num_rows, np.uint64)
+            prefix, sig = [], np.zeros((batch.num_rows, 2), np.uint64)
             for k, t in enumerate(batch.column("text")):
                 s = shingles(t.as_py(), words)
-                code = (rare.value[(s & np.uint64((1 << bits) - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(40)) | (s >> np.uint64(24))
-                odd = np.bincount((code & np.uint64(63)).astype(np.int64), minlength=64) & 1
-                sig[k] = np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")[0]
+                code = (rare.value[(s >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
+                odd = np.bincount((code & np.uint64(127)).astype(np.int64), minlength=128) & 1
+                sig[k] = np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
                 keep = len(s) - -(-len(s) * UP // DOWN) + 1 if len(s) else 0
                 prefix.append(np.sort(code)[:keep].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(prefix, pa.list_(pa.int64())), pa.array(sig.view(np.int64))], ["id", "prefix", "sig"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), pa.array(prefix, pa.list_(pa.int64())), *(pa.array(sig[:, i].copy().view(np.int64)) for i in (0, 1))], ["id", "prefix", "s0", "s1"])
 
-    return rows.select("id", "text").mapInArrow(run, "id long, prefix array<long>, sig long")
+    return rows.select("id", "text").mapInArrow(run, "id long, prefix array<long>, s0 long, s1 long")
 
 
 def _hashed(rows: DataFrame, words: int) -> DataFrame:
@@ -118,46 +137,82 @@ def _leading(sets: DataFrame) -> DataFrame:
     return rows.join(first, ["j", "key"]).where((F.col("f.o") < F.col("o")) & same & sized).select(F.col("f.id").alias("x"), F.col("id").alias("y")).distinct()
 
 
-def _late(rows: DataFrame, sets: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    """``id`` of the later class of every pair of ``x`` and ``y`` whose shingles reach the threshold."""
+def _crossing(codes: DataFrame) -> DataFrame:
+    """Pairs ``x`` < ``y`` of classes of unlike ``comp`` that pass the prefix, length, positional and signature filters.
+
+    In each code, the classes of the component that has the most there (of those of over MANY classes) are only
+    looked up, and don't look up, as they could find but each other. So a large component makes no pairs within.
+    """
+    rows = codes.where("n > 3").select("id", "comp", "many", "s0", "s1", F.col("n").cast("long").alias("n"), F.posexplode("prefix").alias("i", "code"))
+    most = rows.where("many").groupBy("code", "comp").agg(F.count("*").alias("k")).groupBy("code").agg(F.max(F.struct("k", "comp"))["comp"].alias("most"))
+    rows = rows.select("code", "id", "comp", "s0", "s1", (F.shiftleft("n", 32) + F.col("i")).alias("m"), "many")
+    a = rows.drop("many").toDF("code", "x", "c1", "a0", "a1", "m1")
+    few, many = rows.where("NOT many").drop("many"), rows.where("many").drop("many")
+    others = many.join(most, "code").where("comp <> most").drop("most")
+    b = few.union(others.select(few.columns)).toDF("code", "y", "c2", "b0", "b1", "m2")
+    n1, n2 = F.shiftright("m1", 32), F.shiftright("m2", 32)
+    i1, i2 = F.col("m1").bitwiseAND(F.lit((1 << 31) - 1)), F.col("m2").bitwiseAND(F.lit((1 << 31) - 1))
+    placed = F.least(n1 - i1, n2 - i2) * (UP + DOWN) >= (n1 + n2) * UP
+    index = lambda n, i: (n - i) * (UP + DOWN) >= n * 2 * UP
+    placed &= F.when(n1 <= n2, index(n1, i1)).otherwise(index(n2, i2))
+    alike = _alike(n1, (F.col("a0"), F.col("a1")), n2, (F.col("b0"), F.col("b1")))
+    pairs = a.join(b, "code").where((F.col("c1") != F.col("c2")) & placed & alike)
+    return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+
+
+def _true(rows: DataFrame, sets: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """The pairs ``x``, ``y`` of classes whose shingles reach the threshold; texts of these classes alone are read again."""
     ids = _few(pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct(), BROADCAST_ROWS)
-    wanted = sets.join(ids, "id", "left_semi").select("id", "n", "o", "o._file", "o._row")
-    texts = _hashed(rows.join(_few(wanted.select("id", "_file", "_row"), BROADCAST_ROWS), ["_file", "_row"]), words).join(wanted.select("id", "n", "o"), "id")
-    a, b = texts.toDF("x", "w1", "n1", "o1"), texts.toDF("y", "w2", "n2", "o2")
-    alike = F.size(F.array_intersect("w1", "w2")) * (UP + DOWN) >= (F.col("n1") + F.col("n2")) * UP
-    return pairs.join(a, "x").join(b, "y").where(alike).select(F.when(F.col("o1") > F.col("o2"), F.col("x")).otherwise(F.col("y")).alias("id")).distinct()
+    wanted = sets.join(ids, "id", "left_semi").select("id", "o._file", "o._row")
+    texts = _hashed(rows.join(_few(wanted, BROADCAST_ROWS), ["_file", "_row"]), words)
+    a, b = texts.toDF("x", "w1"), texts.toDF("y", "w2")
+    alike = F.size(F.array_intersect("w1", "w2")) * (UP + DOWN) >= (F.size("w1") + F.size("w2")) * UP
+    return pairs.join(a, "x").join(b, "y").where(alike).select("x", "y")
+
+
+def _grouped(sets: DataFrame, found: DataFrame) -> DataFrame:
+    """``sets`` with ``comp``, the component's least id."""
+    return sets.join(components(found.select(F.col("x").alias("a"), F.col("y").alias("b"))), "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root")
 
 
-def drop_copies(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
-    """``docs`` without the rows of which an earlier one is a near copy; columns unchanged.
+def drop_copies(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE, bits: int = BITS) -> DataFrame:
+    """``docs`` with one row of each group of near copies; columns unchanged, whatever their names.
 
     Near copies have a Jaccard of 0.8 or more as sets of word shingles, which is
-    computed of the texts. Rows are ordered by doc_id (null last) and then by
-    their place in the files; an earlier row counts whether or not it stays itself. Null and
-    blank texts are copies of each other.
+    computed of the texts; groups are what such pairs connect. The row of the least doc_id (null last) stays, and of
+    equal ones the first in the files. Null and blank texts are copies of each other, repeated rows too.
 
-    Rows of the same set are one class. A class is compared with the first ones that share
-    a least hash, and if that doesn't settle it with all that share a
-    code of its prefix (the rarest fifth of its shingles), which loses no pair.
+    Rows of the same set are one class. Classes are linked by their SimHash within ``distance`` bits (see
+    ``simhash.links``) and with the first ones that share a least hash, and verified. Then each is compared with all classes
+    of other components that share a code of its prefix (the rarest fifth of its shingles), which loses no pair.
     """
-    spark, rows = docs.sparkSession, numbered(docs)
+    rows = numbered(docs).select("_file", "_row", "own", F.col("own.text").alias("text"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_file", "_row")
-    sketched = stored(_sketched(rows.select("doc_id", "_file", "_row", "text"), words, bits))
+    sketched = stored(_sketched(rows.select("own.doc_id", "_file", "_row", "text"), words, bits))
     counts = np.zeros(1 << bits, np.int64)
     # as many rows as there are slots, whatever the input
     for r in sketched.where("slot IS NOT NULL").groupBy("slot").agg(F.sum("count").alias("count")).toArrow().to_batches():
         counts[np.asarray(r["slot"])] = np.asarray(r["count"])
-    sets = sketched.where("slot IS NULL").withColumn("o", order).groupBy("id").agg(F.min("o").alias("o"), F.first("n").alias("n"), F.first("low").alias("low"))
-    sets = stored(sets)
-    settled = stored(_late(rows, sets, stored(_leading(sets)), words))
-    release(spark)
-    firsts = sets.where("n > 3").select("id", "o._file", "o._row")
-    codes = _prefixed(rows.join(_few(firsts, BROADCAST_ROWS), ["_file", "_row"]), counts, words, bits)
-    # the place of a doc_id only narrows the search
-    place = F.coalesce(F.col("o.doc_id").try_cast("long"), F.lit((1 << 63) - 1)).alias("doc_id")
-    codes = stored(codes.join(sets.select("id", F.col("n").cast("int").alias("n"), place), "id"))
-    pairs = stored(candidates(codes, _few(settled, BROADCAST_ROWS)))
-    release(spark)
-    gone = settled.union(_late(rows, sets, pairs, words))
-    kept = sets.join(gone, "id", "left_anti").select("o._file", "o._row")
-    return rows.join(kept, ["_file", "_row"], "left_semi").select(*docs.columns)
+    firsts = sketched.where("slot IS NULL").withColumn("o", order).groupBy("id").agg(F.min("o").alias("o"), *[F.first(c).alias(c) for c in ("n", "fp", "low")])
+    sets = stored(firsts)
+    discard(sketched)
+    near = links(sets.where("n > 3").select("id", "fp"), distance).select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+    lead = _leading(sets).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    close = stored(near.union(lead).distinct())
+    found = stored(_true(rows, sets, close, words))
+    discard(close)
+    joined = stored(_grouped(sets.select("id", "n", "o"), found))
+    sizes = joined.groupBy("comp").agg((F.count("*") > MANY).alias("many")).where("many")
+    of = joined.where("n > 3").select("id", F.col("n").cast("int").alias("n"), "comp", "o._file", "o._row").join(sizes, "comp", "left")
+    of = of.select("id", "n", "comp", F.coalesce("many", F.lit(False)).alias("many"), "_file", "_row")
+    prefixed = _prefixed(rows.join(_few(of.select("id", "_file", "_row"), BROADCAST_ROWS), ["_file", "_row"]), counts, words, bits)
+    codes = stored(prefixed.join(of.drop("n", "_file", "_row").join(sets.select("id", F.col("n").cast("int").alias("n")), "id"), "id"))
+    pairs = stored(_crossing(codes))
+    discard(codes)
+    more = _true(rows, sets, pairs, words)
+    root = joined.select("id", "comp")
+    across = more.join(root.toDF("x", "a"), "x").join(root.toDF("y", "b"), "y").select("a", "b")
+    final = components(across)
+    top = joined.join(final.select(F.col("id").alias("comp"), F.col("root").alias("top")), "comp", "left").withColumn("top", F.coalesce("top", "comp"))
+    kept = top.groupBy("top").agg(F.min("o").alias("o")).select("o._file", "o._row")
+    return rows.join(kept, ["_file", "_row"], "left_semi").select("own.*")

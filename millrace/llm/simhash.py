@@ -205,13 +205,13 @@ def near_groups(docs: DataFrame, words: int = 3, distance: int = 2, keep: list[s
 def drop_near(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with one row of each component: that of the least doc_id (of repeated ones, the first in the files).
 
-    Columns are unchanged, texts are shuffled once.
+    Columns are unchanged, whatever their names; texts are shuffled once. Null and blank texts are one component.
     """
     rows = numbered(docs)
-    groups = near_groups(rows.select("doc_id", "text", "_file", "_row"), keep=["_file", "_row"], **how)
+    groups = near_groups(rows.select("own.doc_id", "own.text", "_file", "_row"), keep=["_file", "_row"], **how)
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_file", "_row")).alias("one")
     ones = groups.groupBy("root").agg(first).select("one._file", "one._row")
-    return rows.join(ones, ["_file", "_row"], "left_semi").select(*docs.columns)
+    return rows.join(ones, ["_file", "_row"], "left_semi").select("own.*")
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:

@@ -1,27 +1,21 @@
 import random
-from collections import Counter
 
-import duckdb
-import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from millrace.llm import decontaminate, language, mixing, sharding
 from millrace.llm import near_copies as N
 
-SF = "/root/testdata/sf0.001"
-
 
 def plain_kept(rows):
-    """Indices of rows (in order) without an earlier one of Jaccard 0.8 or more over five-word shingles."""
-    sets, kept = [], []
+    """Indices of the first row of each group that pairs of Jaccard 0.8 or more over five-word shingles connect."""
+    sets, root = [], []
     for i, text in enumerate(rows):
         w = (text or "").lower().split()
         s = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
-        if not any(s == o if not s else len(s & o) * 5 >= len(s | o) * 4 for o in sets):
-            kept.append(i)
+        near = {root[j] for j, o in enumerate(sets) if (s == o if not s else len(s & o) * 5 >= len(s | o) * 4)}
+        root = [min(near) if r in near else r for r in root] + [min(near, default=i)]
         sets.append(s)
-    return kept
+    return [i for i, r in enumerate(root) if i == r]
 
 
 def edited(rng, words, edits):
@@ -44,6 +38,25 @@ def test_stage_drops_edited_copies(spark):
     assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == want
 
 
+def test_a_chain_is_one_group(spark):
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(words[12 * i : 12 * i + 200]) for i in (0, 4, 2, 3, 1, 6, 5)] + ["something else that is alone here"]
+    assert plain_kept(texts) == [0, 7]
+    got = N.drop_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == [0, 7]
+
+
+def test_components_of_many_classes(spark, monkeypatch):
+    monkeypatch.setattr(N, "MANY", 3)
+    rng = random.Random(8)
+    texts = []
+    for _ in range(6):
+        base = [f"w{rng.randrange(300)}" for _ in range(120)]
+        texts += [edited(rng, base, rng.randrange(0, 6)) for _ in range(25)]
+    got = N.drop_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bits=8)
+    assert sorted(r.doc_id for r in got.collect()) == plain_kept(texts)
+
+
 def test_one_large_group_of_near_copies(spark):
     rng = random.Random(6)
     base = [f"w{i}" for i in range(200)]
@@ -59,19 +72,3 @@ def test_odd_rows(spark, kind):
     docs = spark.createDataFrame(rows, "doc_id string, text string").selectExpr(f"cast(doc_id AS {kind}) AS doc_id", "text")
     assert sorted(str(r.doc_id) for r in N.drop_copies(docs).collect()) == ["7", "9"]
     assert N.drop_copies(docs.limit(0)).count() == 0
-
-
-def test_run_matches_a_plain_version_without_near_copies(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    rows = sorted((tuple(r) for r in docs.collect()), key=lambda r: r[0])
-    scorer = language.Scorer(*language.train(docs))
-    rows = [r for r, (lang, p) in zip(rows, scorer.scores([r[1] for r in rows]), strict=True) if lang != "und" and p >= 0.5]
-    rows = [rows[i] for i in plain_kept([r[1] for r in rows])]
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW benchmark AS SELECT * FROM '{SF}/benchmark.parquet'")
-    con.execute(f"CREATE VIEW labels AS SELECT * FROM '{SF}/labels.parquet'")
-    con.register("given", pa.Table.from_pylist([dict(zip(docs.columns, r, strict=True)) for r in rows]))
-    con.execute(f"CREATE TABLE clean AS SELECT * FROM given WHERE doc_id NOT IN (SELECT doc_id FROM ({decontaminate.contaminated_sql('given')}))")
-    con.execute(f"CREATE TABLE mixed AS SELECT m.doc_id, text, lang, m.source, n_chars FROM ({mixing.mix_sql('clean')}) m, range(3) v(i) WHERE i < times AND size > 0")
-    want = con.execute(f"SELECT doc_id, text, lang, source, n_chars, shard, slot FROM ({sharding.shard_sql('mixed')})").fetchall()
-    assert Counter(tuple(r) for r in corpus_pipeline.run(spark, SF).collect()) == Counter(want)

@@ -5,7 +5,7 @@ import pyarrow as pa
 
 import corpus_pipeline
 from millrace.llm import decontaminate, language, mixing, sharding
-from test_simhash import plain_groups, plain_print
+from test_near_copies import plain_kept
 
 SF = "/root/testdata/sf0.001"
 
@@ -15,8 +15,7 @@ def test_run_matches_a_plain_version(spark):
     rows = sorted((tuple(r) for r in docs.collect()), key=lambda r: r[0])
     scorer = language.Scorer(*language.train(docs))
     rows = [r for r, (lang, p) in zip(rows, scorer.scores([r[1] for r in rows]), strict=True) if lang != "und" and p >= 0.5]
-    groups = plain_groups([plain_print(r[1]) for r in rows], 2)
-    rows = [r for i, r in enumerate(rows) if groups[i] == i]
+    rows = [rows[i] for i in plain_kept([r[1] for r in rows])]
     con = duckdb.connect()
     con.execute(f"CREATE VIEW benchmark AS SELECT * FROM '{SF}/benchmark.parquet'")
     con.execute(f"CREATE VIEW labels AS SELECT * FROM '{SF}/labels.parquet'")
