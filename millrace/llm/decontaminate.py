@@ -40,53 +40,68 @@ def _seeded(rows: DataFrame, words: str, masks: tuple) -> DataFrame:
     return rows.select("*", F.posexplode(F.array(*seeds)).alias("m", "h")).where("h IS NOT NULL")
 
 
-def windows(benchmark: DataFrame, masks: tuple = MASKS, window: int = 20) -> DataFrame:
+def _short_masks(items: DataFrame, masks: tuple) -> tuple:
+    """A mask of ones for each length of items that are shorter than all masks: such an item must agree whole."""
+    least = min(map(len, masks))
+    lengths = items.select(F.size("words").alias("n")).where((F.col("n") > 0) & (F.col("n") < least)).distinct()
+    return tuple("1" * r["n"] for r in lengths.orderBy("n").collect())  # as many rows as there are such lengths
+
+
+def windows(items: DataFrame, masks: tuple, window: int = 20) -> DataFrame:
     """``h``, ``ctx``, ``off``, ``item``: each seed with the tokens around it and its place among them.
 
-    The window has ``window`` tokens, centred on the seed, moved inwards at the
-    ends of the item, and is the whole item if that is shorter. Items of the same
-    tokens, and like windows of different items, are one; ``item`` is the least id.
+    ``items`` has ``words`` and ``item``. The window has ``window`` tokens, centred on the seed, moved inwards at the
+    ends of the item, and is the whole item if that is shorter. Like windows of different items are one; ``item`` is the least id.
     """
-    items = benchmark.select(_hashed(tokens("text")).alias("words"), F.col("item_id")).groupBy("words").agg(F.min("item_id").alias("item"))
     spans = F.element_at(F.array(*[F.lit(len(m)) for m in masks]), F.col("m") + 1)
+    whole = F.element_at(F.array(*[F.lit("0" not in m) for m in masks]), F.col("m") + 1)
     left = F.greatest(F.lit(0), F.least(F.col("at") - F.floor((window - spans) / 2), F.size("words") - window)).cast("int")
-    rows = _seeded(items, "words", masks).withColumn("_from", left)
+    rows = _seeded(items, "words", masks).where(~whole | (spans == F.size("words"))).withColumn("_from", left)
     rows = rows.select("h", F.slice("words", F.col("_from") + 1, F.lit(window)).alias("ctx"), (F.col("at") - F.col("_from")).alias("off"), "item")
     return rows.groupBy("h", "ctx", "off").agg(F.min("item").alias("item"))
 
 
-def _overlap() -> Column:
-    """Share of the window's tokens that the document has at the same places."""
-    agree = F.filter(F.zip_with("own", "due", lambda a, b: a == b), lambda x: x)
-    # the second use of the slice keeps the optimizer from moving it here: cut out within the
-    # join's generated code, it saves copying a document's tokens for each hit
-    return F.when(F.size("own") > 0, F.size(agree)).otherwise(0) / F.size("ctx")
+def _overlap(near: str, place: str, w: Column) -> Column:
+    """Share of the window's tokens that the document has at the same places; the seed is at ``place`` of ``near``."""
+    start = F.col(place) - w["off"]
+    lack = F.greatest(-start, F.lit(0))
+    own = F.slice(near, F.greatest(start, F.lit(0)) + 1, F.greatest(F.size(w["ctx"]) - lack, F.lit(0)))
+    due = F.slice(w["ctx"], lack + 1, F.size(w["ctx"]))
+    return F.size(F.filter(F.zip_with(own, due, lambda a, b: a == b), lambda x: x)) / F.size(w["ctx"])
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, masks: tuple = MASKS, window: int = 20, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``doc_id``, ``at``, ``item``, ``overlap`` of each hit of a seed, by whatever it overlaps.
+def hits(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, masks: tuple = MASKS, window: int = 20, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``doc_id``, ``at``, ``item``, ``overlap`` of each hit of a seed around which at least ``least`` of a window agrees.
 
     Positions of the documents are joined with the benchmark's seeds and never
     leave their task if the seeds are few enough to be sent there, which is
     counted first. Otherwise hashes are shuffled, without texts, and the tokens of
-    the documents that were hit are joined again.
+    the documents that were hit are joined again. A seed is one row with all its windows, so one
+    that many items and many documents hold makes a row for each place in the documents, not for each pair.
     """
-    seeds = windows(benchmark, masks, window)
-    few = seeds.limit(broadcast_rows + 1).count() <= broadcast_rows
+    items = benchmark.select(_hashed(tokens("text")).alias("words"), F.col("item_id")).groupBy("words").agg(F.min("item_id").alias("item"))
+    masks = masks + _short_masks(items, masks)
+    found = windows(items, masks, window)
+    few = found.limit(broadcast_rows + 1).count() <= broadcast_rows
+    seeds = found.groupBy("h").agg(F.collect_list(F.struct("ctx", "off", "item")).alias("wins"))
     own = docs.select("doc_id", _hashed(tokens("text")).alias("words"))
     if few:
         rows = _seeded(own, "words", masks).join(F.broadcast(seeds), "h")
     else:
         own = own.withColumn("t", F.xxhash64("words"))
-        thin = _seeded(own, "words", masks).select("doc_id", "t", "at", "h").join(seeds, "h").withColumnRenamed("doc_id", "_id").withColumnRenamed("t", "_t")
+        thin = _seeded(own, "words", masks).select("doc_id", "t", "at", "h").join(seeds.select("h"), "h", "left_semi").withColumnRenamed("doc_id", "_id").withColumnRenamed("t", "_t")
         rows = thin.join(own.dropDuplicates(["doc_id", "t"]), F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_t") == F.col("t")))
-    start = F.col("at") - F.col("off")
-    lack = F.greatest(-start, F.lit(0))
-    rows = rows.select(
-        "doc_id", "at", "item", "ctx", F.slice("words", F.greatest(start, F.lit(0)) + 1, F.lit(window) - lack).alias("own"),
-        F.slice("ctx", lack + 1, F.lit(window)).alias("due"),
-    )
-    return rows.select("doc_id", "at", "item", _overlap().alias("overlap"))
+    first = F.greatest(F.col("at") - window, F.lit(0))
+    near = F.slice("words", first + 1, F.lit(2 * window + max(map(len, masks)))).alias("near")
+    if few:
+        rows = rows.select("doc_id", "at", "wins", near, (F.col("at") - first).alias("place"))
+    else:
+        rows = rows.select("doc_id", "at", "h", near, (F.col("at") - first).alias("place")).join(seeds, "h")
+    # the second use of ``near`` keeps the optimizer from moving the slice here: cut out within the
+    # join's generated code, it saves copying a document's tokens for each hit
+    scored = F.transform("wins", lambda w: F.struct(w["item"].alias("item"), F.when(F.size("near") > 0, _overlap("near", "place", w)).alias("overlap")))
+    rows = rows.select("doc_id", "at", F.explode(F.filter(scored, lambda x: x["overlap"] >= least)).alias("hit"))
+    return rows.select("doc_id", "at", "hit.item", "hit.overlap")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, **how) -> DataFrame:
@@ -94,29 +109,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, **ho
 
     A document holds one if, around some hit of a seed, at least ``least`` (0.8) of
     the window's tokens agree place by place, so up to a fifth may be substituted.
-    Items of fewer tokens than a mask are too short to seed and match nothing.
+    An item of fewer tokens than the shortest mask matches where all its tokens stand in a row.
     Null and empty texts, and an empty benchmark, give no hit; rows of the same doc_id (null
-    included) share a verdict.
+    included) share a verdict here (``decontaminate`` judges rows). Texts of any length are read whole.
     """
-    # judged within the aggregate: as a filter, the overlap would become part of the join
-    good = F.col("overlap") >= least
-    found = hits(docs, benchmark, **how).groupBy("doc_id").agg(
-        F.count(F.when(good, 1)).alias("n_hits"), F.max("overlap").alias("overlap"), F.array_sort(F.collect_set(F.when(good, F.col("item")))).alias("items")
-    )
-    return found.where("n_hits > 0")
+    found = hits(docs, benchmark, least, **how).groupBy("doc_id")
+    return found.agg(F.count("*").alias("n_hits"), F.max("overlap").alias("overlap"), F.array_sort(F.collect_set("item")).alias("items"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """``docs`` without those that hold a benchmark passage, columns unchanged."""
-    bad = contaminated(docs, benchmark, **how).select(F.col("doc_id").alias("_bad"))
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    """``docs`` without the rows that hold a benchmark passage, columns unchanged, whatever their names.
 
-
-def clean_rows(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """As ``decontaminate``, but each row is judged by itself, whatever its doc_id."""
+    Each row is judged by itself, also where doc_ids repeat or are null.
+    """
     rows = numbered(docs)
-    bad = contaminated(rows.select(F.struct("_file", "_row").alias("doc_id"), "text"), benchmark, **how).select("doc_id.*")
-    return rows.join(bad, ["_file", "_row"], "left_anti").select(*docs.columns)
+    bad = contaminated(rows.select(F.struct("_file", "_row").alias("doc_id"), F.col("own.text").alias("text")), benchmark, **how).select("doc_id.*")
+    return rows.join(bad, ["_file", "_row"], "left_anti").select("own.*")
+
+
+clean_rows = decontaminate
 
 
 def op3_spaced_seeds(spark, sf_dir: str) -> DataFrame:
@@ -133,10 +144,12 @@ def op3_spaced_seeds(spark, sf_dir: str) -> DataFrame:
 def contaminated_sql(docs: str) -> str:
     """SQL of ``contaminated`` over a relation with ``doc_id`` and ``text``."""
     def seeds(words: str) -> str:
+        masks = [*MASKS, *("1" * k for k in range(1, min(map(len, MASKS))))]
         return " UNION ALL ".join(
-            f"SELECT *, {i} AS m, {len(mask)} AS span, concat_ws(' ', {', '.join(f'words[p + {k + 1}]' for k, b in enumerate(mask) if b == '1')}) AS h "
-            f"FROM (SELECT *, unnest(range(len(words) - {len(mask) - 1})) AS p FROM {words} WHERE len(words) >= {len(mask)})"
-            for i, mask in enumerate(MASKS)
+            f"SELECT *, '{mask}' AS m, {len(mask)} AS span, concat_ws(' ', {', '.join(f'words[p + {k + 1}]' for k, b in enumerate(mask) if b == '1')}) AS h "
+            f"FROM (SELECT *, unnest(range(len(words) - {len(mask) - 1})) AS p FROM {words} WHERE len(words) {'>=' if '0' in mask or words != 'it' else '='} {len(mask)}"
+            f"{'' if '0' in mask else f' AND {len(mask)} IN (SELECT len(words) FROM it)'})"
+            for mask in masks
         )
 
     words = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '')"

@@ -101,11 +101,14 @@ def with_quality(docs: DataFrame, labels: DataFrame, name: str = "quality", good
 
 
 def take(docs: DataFrame, labels: DataFrame | None = None, **how) -> DataFrame:
-    """The mixture itself: each row as often as it is taken, columns unchanged. Texts are shuffled once."""
+    """The mixture itself: each row as often as it is taken, columns unchanged, whatever their names. Texts are shuffled once.
+
+    Rows without words (null or blank texts) are never taken; repeated rows are taken each by itself.
+    """
     rows = numbered(docs)
-    thin = mix(rows.select("doc_id", "text", "source", "_file", "_row"), labels=labels, keep=["_file", "_row"], **how).where("taken > 0")
+    thin = mix(rows.select("own.doc_id", "own.text", "own.source", "_file", "_row"), labels=labels, keep=["_file", "_row"], **how).where("taken > 0")
     times = thin.select("_file", "_row", F.explode(F.sequence(F.lit(1).cast("long"), (F.col("taken") / F.col("size")).cast("long"))).alias("_copy"))
-    return rows.join(times, ["_file", "_row"]).select(*docs.columns)
+    return rows.join(times, ["_file", "_row"]).select("own.*")
 
 
 def op9_mix(spark, sf_dir: str) -> DataFrame:

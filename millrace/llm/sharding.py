@@ -65,10 +65,16 @@ def shard(
 
 
 def deal(docs: DataFrame, shards: int = 40, **how) -> DataFrame:
-    """``docs`` with ``shard`` and ``slot`` added. Texts are shuffled once."""
+    """``docs`` with ``shard`` and ``slot`` added, which replace columns of these names. Texts are shuffled once.
+
+    Every row is dealt once, also where rows repeat or ids are null; other columns pass unchanged, whatever their names.
+    """
     rows = numbered(docs)
-    place = shard(rows.select("doc_id", "text", "source", "_file", "_row"), shards, keep=["_file", "_row"], **how)
-    return rows.join(place.drop("doc_id"), ["_file", "_row"]).select(*docs.columns, "shard", "slot")
+    place = shard(rows.select("own.doc_id", "own.text", "own.source", "_file", "_row"), shards, keep=["_file", "_row"], **how)
+    place = place.select("_file", "_row", F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
+    kept = [c for c in docs.columns if c not in ("shard", "slot")]
+    out = rows.join(place, ["_file", "_row"])
+    return out.select(*[F.col("own").getField(c).alias(c) for c in kept], F.col("_shard").alias("shard"), F.col("_slot").alias("slot"))
 
 
 def op8_interleave(spark, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate as D
 from millrace.llm import line_dedup as L
@@ -65,5 +66,24 @@ def test_leaks(spark, broadcast_rows):
     bench = spark.createDataFrame([(7, ITEM), (9, ITEM.title()), (11, "too short"), (12, None), (None, "")], "item_id long, text string")
     got = {r.doc_id: r["items"] for r in D.contaminated(df, bench, broadcast_rows=broadcast_rows).collect()}
     assert got == {i: [7] for i in (1, 2, None, 8)}
-    assert sorted(r.doc_id for r in D.decontaminate(df, bench, broadcast_rows=broadcast_rows).collect()) == [3, 4, 5, 6]
+    left = D.decontaminate(df, bench, broadcast_rows=broadcast_rows)
+    assert sorted((r.doc_id, r.text) for r in left.select("doc_id", F.substring("text", 1, 7).alias("text")).collect() if r.text) == [(1, "nothing"), (3, "the qui"), (4, "tonight")]
+    assert left.count() == 5 and left.columns == df.columns
     assert D.contaminated(df.limit(0), bench).count() == 0 and D.contaminated(df, bench.limit(0)).count() == 0
+
+
+def test_short_items_and_common_seeds(spark):
+    bench = [(1, "five little words in all"), (2, "one"), *[(10 + i, f"{ITEM} and then {i}") for i in range(40)]]
+    docs = [(1, "say FIVE little, words in all!"), (2, "five little words"), (3, "One and only"), (4, "ones"), (5, "x " + ITEM), (6, None)]
+    got = {r.doc_id: r["items"] for r in D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    assert set(got) == {1, 3, 5} and got[1] == [1] and got[3] == [2]
+    assert 10 in got[5]
+
+
+def test_any_column_names(spark):
+    names = ["kept", "own", "_doc", "_bad", "_file", "_row", "line", "at", "h", "wins", "words"]
+    df = spark.createDataFrame([(1, f"{ITEM}\nb", *names), (2, f"clean\n{ITEM}", *names)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    lines = L.dedup_lines(df)
+    assert lines.columns == df.columns and sorted((r.doc_id, r.text) for r in lines.collect()) == [(1, f"{ITEM}\nb"), (2, "clean")]
+    left = D.decontaminate(df, spark.createDataFrame([(1, ITEM)], "item_id long, text string"))
+    assert left.columns == df.columns and left.count() == 0
