@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import os
-import time
+import re
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,27 +27,62 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+#: Spark's own setting: the shuffle files of an execution go when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(rows: DataFrame) -> DataFrame:
     """``rows`` written to the shared folder and read back: cuts the lineage.
 
-    Unlike a local checkpoint, the copy outlives the executors that made it.
+    Unlike a local checkpoint, the copy outlives the executors that made it. The
+    shuffle files that led to it are deleted with the write's end.
     """
-    path = shared_dir(rows.sparkSession)
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+    spark, path = rows.sparkSession, shared_dir(rows.sparkSession)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        rows.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(rows.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*copies: DataFrame) -> None:
+    """Empties the folders of what ``stored`` returned, once nothing that reads them is left to run."""
+    for rows in copies:
+        rows.sparkSession.createDataFrame([], rows.schema).write.mode("overwrite").parquet(rows.stored_at)
 
 
 def numbered(rows: DataFrame) -> DataFrame:
-    """Adds ``_file`` and ``_row``, which name a row of the files that ``rows`` reads.
+    """``_file`` and ``_row``, which name a row, and the row itself as the struct ``own``.
 
-    They are the same whichever columns are read, so a thin selection can be
-    worked on and joined back, even where rows repeat. What isn't read from files is written first.
+    A plain scan of files is numbered by its files and the places in them, which are
+    the same whichever columns are read, so a thin selection can be worked on and joined back even
+    where rows repeat. Anything else (joined, exploded, made rows) is written first, as a row of
+    a file may stand for several there. No column's name matters, as all are inside the struct.
     """
-    key = [F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
-    try:
-        return rows.select("*", *key)
-    except AnalysisException:
-        return stored(rows).select("*", *key)
+    if not _plain_scan(rows):
+        rows = stored(rows)
+    meta = rows.metadataColumn("_metadata")
+    return rows.select(
+        F.xxhash64(meta["file_path"]).alias("_file"), meta["row_index"].alias("_row"),
+        F.struct(*[F.col(_quoted(c)) for c in rows.columns]).alias("own"),
+    )
+
+
+def _quoted(name: str) -> str:
+    return f"`{name.replace('`', '``')}`"
+
+
+def _plain_scan(rows: DataFrame) -> bool:
+    """Whether the plan only reads Parquet files, and selects columns or filters rows."""
+    scan = re.compile(r"Relation \[.*\] parquet|LogicalRelation")
+    if not hasattr(rows, "_jdf"):  # the plan can't be looked at
+        return False
+    plan = rows._jdf.queryExecution().analyzed().toString().strip().splitlines()
+    return bool(scan.search(plan[-1])) and all(re.match(r"[\s+:-]*(Project|Filter|SubqueryAlias) ", x) for x in plan[:-1])
 
 
 def utf8_bytes(text: str = "text") -> Column:
@@ -71,18 +104,6 @@ def unit(seed: str, *columns: Column) -> Column:
     return (F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that nothing refers to any more.
-
-    It does so when the driver collects garbage, which a small driver load would put off for long.
-    What the first round finds frees more for the second, and the files go a moment later.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(1)
-
-
 def importable(spark: SparkSession) -> None:
     """Lets Python workers import this package from where the driver did, whatever folder they start in.
 
