@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import release, stored
+from millrace.llm.common import discard, stored
 from millrace.llm.decontaminate import tokens
 
 #: Jaccard of at least UP / DOWN = 0.8, in whole numbers.
 UP, DOWN = 4, 5
 #: Hash buckets (as a power of two) by which the rarity of tokens is counted.
 BITS = 18
-#: Classes or places of lines sent to every task at most (some 16 MB).
-BROADCAST_ROWS = 500_000
+#: Tokens of a line up to which one half of the signature tells lines apart.
+SHORT = 70
+#: Classes or places of lines, of a few longs each, sent to every task at most (some 10 MB).
+BROADCAST_ROWS = 200_000
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -21,115 +23,122 @@ def lines(docs: DataFrame) -> DataFrame:
     return docs.where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
-def rarity(docs: DataFrame, bits: int) -> DataFrame:
-    """One row with an array of 2^bits counts: how many tokens of all texts fall to each hash bucket.
+def rarity(docs: DataFrame, bits: int) -> str:
+    """How frequent the tokens of each of 2^bits hash buckets are: twice the binary logarithm of their number in all texts, parted by commas.
 
-    Its size follows ``bits`` alone (1 to 2 MB at 18), whatever the input.
+    Counted in longs over everything, so no count is cut off. The table's size
+    follows ``bits`` alone (under 1 MB at 18), whatever the input; where the vocabulary is much
+    larger than 2^bits, rare tokens share buckets, which costs time and no pair.
     """
-    slot = F.xxhash64("w").bitwiseAND(F.lit((1 << bits) - 1)).alias("i")
+    slot = F.shiftrightunsigned(F.xxhash64("w"), 64 - bits).alias("i")
     counts = docs.select(F.explode(tokens("text")).alias("w")).groupBy(slot).agg(F.count("*").alias("n"))
     every = docs.sparkSession.range(0, 1 << bits, 1, 8).withColumnRenamed("id", "j").join(counts, F.col("i") == F.col("j"), "left")
-    pair = F.struct("j", F.least(F.coalesce("n", F.lit(0)), F.lit((1 << 22) - 1)).cast("int").alias("n"))
-    return every.agg(F.transform(F.array_sort(F.collect_list(pair)), lambda x: x["n"]).alias("counts"))
+    level = F.floor(2 * F.log2(F.coalesce("n", F.lit(1)))).cast("string")
+    row = every.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("j", level.alias("c")))), lambda x: x["c"]), ",").alias("levels"))
+    return row.first()["levels"]
 
 
-def _codes(hashes: Column, counts: Column, bits: int) -> Column:
-    """The line's tokens, rarest first, as longs: the bucket's count above 40 bits of the hash.
+def _codes(words: Column, levels: str, bits: int) -> Column:
+    """The line's different tokens, rarest first, as longs: the bucket's level above 56 bits of the hash, the bucket's number among them.
 
     Equal tokens have equal codes, so the filters that work on codes lose no pair;
-    unlike tokens seldom share one, and the verification doesn't use codes.
+    unlike tokens hardly ever share one, and the verification doesn't use codes.
     """
-    code = lambda h: F.shiftleft(F.get(counts, h.bitwiseAND(F.lit((1 << bits) - 1)).cast("int")).cast("long"), 40).bitwiseOR(
-        F.shiftrightunsigned(h, 24)
-    )
-    return F.sort_array(F.transform(hashes, code))
+    table = F.split(F.lit(levels), ",").cast("array<long>")  # folded to a constant once
+
+    def code(w: Column) -> Column:
+        h = F.xxhash64(w)
+        return F.shiftleft(F.get(table, F.shiftrightunsigned(h, 64 - bits).cast("int")), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+
+    return F.sort_array(F.array_distinct(F.transform(words, code)))
 
 
 def classes(docs: DataFrame, bits: int = BITS) -> DataFrame:
-    """Lines of the same token set as one: its size ``n``, ``id``, first place, ``crc``, ``prefix`` of codes, ``sig``, ``low`` and ``high``.
+    """Lines of the same token set as one: its size ``n``, ``id``, first place, ``crc``, ``prefix`` of codes, ``s0`` and ``s1``.
 
     A prefix has n - ceil(0.8 n) + 1 codes: sets that reach the threshold share one.
-    Bit b of the signature is the parity of the number of tokens that hash to b.
-    ``low`` and ``high`` are the least and the greatest hash of a token, which sets
-    of Jaccard J share with likelihood J each.
+    Bit b of the signature is the parity of the number of tokens that hash to b: of 64 bits in
+    ``s0`` for sets of up to SHORT tokens, of 128 in ``s0`` and ``s1`` for longer ones.
     """
     rows = lines(docs).where(F.col("line").rlike(r"[\p{L}\p{N}]"))
-    hashes = F.array_distinct(F.transform(tokens("line"), lambda w: F.xxhash64(w)))
-    rows = rows.select("doc_id", "line_no", F.xxhash64("line").alias("crc"), hashes.alias("hashes")).withColumn("n", F.size("hashes"))
-    # the optimizer puts the subquery's value in the place of the column, so that no row carries it
-    rows = rows.withColumn("counts", rarity(docs, bits).scalar()).withColumn("codes", _codes(F.col("hashes"), F.col("counts"), bits))
+    rows = rows.select("doc_id", "line_no", F.xxhash64("line").alias("crc"), _codes(tokens("line"), rarity(docs, bits), bits).alias("codes"))
+    rows = rows.withColumn("n", F.size("codes"))
     prefix = F.slice("codes", F.lit(1), F.col("n") - F.ceil(F.col("n") * UP / DOWN).cast("int") + 1)
-    sig = F.expr("aggregate(codes, 0L, (s, c) -> s ^ shiftleft(1L, cast(c & 63L as int)))")
-    at = F.struct("doc_id", "line_no", "crc", prefix.alias("prefix"), sig.alias("sig"), F.array_min("hashes").alias("low"), F.array_max("hashes").alias("high"))
+    parity = lambda bit: F.expr(f"aggregate(codes, 0L, (s, c) -> s ^ shiftleft({bit}, cast(c & 63L as int)))")
+    rows = rows.select("*", parity("1L").alias("s"), F.when(F.col("n") > SHORT, parity("shiftrightunsigned(c, 6) & 1L")).otherwise(0).alias("s1"))
+    at = F.struct("doc_id", "line_no", "crc", prefix.alias("prefix"), F.col("s").bitwiseXOR(F.col("s1")).alias("s0"), "s1")
     rows = rows.select("n", F.xxhash64("codes").alias("id"), F.xxhash64(F.lit(1), "codes").alias("h2"), at.alias("at"))
     return rows.groupBy("n", "id", "h2").agg(F.min("at").alias("at")).select("n", "id", "at.*")
 
 
-def _alike(n1: Column, sig1: Column, n2: Column, sig2: Column) -> Column:
-    """The length and signature filters: unlike tokens are at most (1 - t) / (1 + t) of both sizes at a Jaccard of t."""
-    unlike = F.bit_count(sig1.bitwiseXOR(sig2))
+def _alike(n1: Column, a: tuple[Column, Column], n2: Column, b: tuple[Column, Column]) -> Column:
+    """The length and signature filters: unlike tokens are at most (1 - t) / (1 + t) of both sizes at a Jaccard of t.
+
+    Halves that are exclusively or-ed make the shorter signature.
+    """
+    x, y = a[0].bitwiseXOR(b[0]), a[1].bitwiseXOR(b[1])
+    unlike = F.when((n1 <= SHORT) | (n2 <= SHORT), F.bit_count(x.bitwiseXOR(y))).otherwise(F.bit_count(x) + F.bit_count(y))
     return (n1 * DOWN >= n2 * UP) & (n2 * DOWN >= n1 * UP) & (unlike * (UP + DOWN) <= (n1 + n2) * (DOWN - UP))
 
 
 def leading(sets: DataFrame) -> DataFrame:
-    """Pairs (``x``, ``y``) of a class and the first one of the same ``low`` and ``high``, or of the same rarest code, if the filters pass them.
+    """Pairs (``x``, ``y``) of a class and the first one of its bucket, if the filters pass them.
 
-    One or two pairs a class, however many are alike: a large group of near copies is
+    Buckets have the same rarest or third rarest code, or the same least or greatest hash among those of the prefix. So there are
+    four pairs a class at most, however many are alike: a large group of near copies is
     settled by its first member, and the join need look only for what earlier lines the rest have.
     """
-    rows = sets.where("n > 3").select("n", "id", "sig", F.struct("doc_id", "line_no").alias("o"), F.explode(F.array(F.xxhash64("low", "high"), F.get("prefix", F.lit(0)))).alias("key"))
-    first = rows.groupBy("key").agg(F.min(F.struct("o", "id", "n", "sig")).alias("f"), F.count("*").alias("k")).where("k > 1").drop("k")
-    alike = _alike(F.col("f.n"), F.col("f.sig"), F.col("n"), F.col("sig"))
+    hashes = F.transform("prefix", lambda c: c.bitwiseAND(F.lit((1 << 56) - 1)))
+    keys = F.array_compact(F.array_distinct(F.array(F.get(hashes, F.lit(0)), F.get(hashes, F.lit(2)), F.array_min(hashes), F.array_max(hashes))))
+    rows = sets.where("n > 3").select("n", "id", "s0", "s1", F.struct("doc_id", "line_no").alias("o"), F.explode(keys).alias("key"))
+    first = rows.groupBy("key").agg(F.min(F.struct("o", "id", "n", "s0", "s1")).alias("f"), F.count("*").alias("k")).where("k > 1").drop("k")
+    alike = _alike(F.col("f.n"), (F.col("f.s0"), F.col("f.s1")), F.col("n"), (F.col("s0"), F.col("s1")))
     return rows.join(first, "key").where((F.col("f.o") < F.col("o")) & alike).select(F.col("f.id").alias("x"), F.col("id").alias("y")).distinct()
 
 
 def candidates(sets: DataFrame, settled: DataFrame) -> DataFrame:
     """Pairs of classes ``x``, ``y``, not both ``settled`` (an ``id`` each), that pass the prefix, length, positional and signature filters.
 
-    The smaller set of a pair need share one of its first n - ceil(2 t / (1 + t) n) + 1 codes only,
-    as both are at least as large. Settled classes meet only the open ones of no
-    earlier document, so a group of near copies that its first member settled makes no pairs.
+    The smaller set of a pair is looked up by its first n - ceil(2 t / (1 + t) n) + 1 codes only,
+    as both are at least as large, the greater by its whole prefix. Settled classes meet only open
+    ones, so a group of near copies that its first member settled makes no pairs.
     """
     # one long holds the size, whether the class is open and the code's place
     state = (F.shiftleft(F.col("n").cast("long"), 32) + F.when(F.col("s").isNull(), 1 << 31).otherwise(0)).alias("m")
-    rows = sets.where("n > 3").join(settled.select("id", F.lit(True).alias("s")), "id", "left").select("id", "sig", state, F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), "prefix")
-    entries = lambda rows: rows.select("id", "sig", "m", "d", F.posexplode("prefix").alias("i", "code")).select("code", "id", "sig", F.col("m") + F.col("i"), "d")
+    rows = sets.where("n > 3").join(settled.select("id", F.lit(True).alias("s")), "id", "left").select("n", "id", "s0", "s1", state, "prefix")
+    index = F.slice("prefix", F.lit(1), F.col("n") - F.ceil(F.col("n") * 2 * UP / (UP + DOWN)).cast("int") + 1)
+    entries = lambda codes: rows.select("id", "s0", "s1", "m", F.posexplode(codes).alias("i", "code")).select("code", "id", "s0", "s1", F.col("m") + F.col("i"))
     is_open = lambda m: m.bitwiseAND(F.lit(1 << 31)) != 0
-    a = entries(rows).toDF("code", "x", "sig1", "m1", "d1")
-    b = entries(rows.where(is_open(F.col("m")))).toDF("code", "y", "sig2", "m2", "d2")
+    a = entries(index).toDF("code", "x", "a0", "a1", "m1")
+    b = entries(F.col("prefix")).toDF("code", "y", "b0", "b1", "m2")
     n1, n2 = F.shiftright("m1", 32), F.shiftright("m2", 32)
     i1, i2 = F.col("m1").bitwiseAND(F.lit((1 << 31) - 1)), F.col("m2").bitwiseAND(F.lit((1 << 31) - 1))
-    index = lambda n, i: (n - i) * (UP + DOWN) >= n * 2 * UP
+    once = (n1 < n2) | ((n1 == n2) & (F.col("x") < F.col("y")))
     # an overlap of t / (1 + t) of both sizes makes a Jaccard of t
     placed = F.least(n1 - i1, n2 - i2) * (UP + DOWN) >= (n1 + n2) * UP
-    placed &= F.when(n1 <= n2, index(n1, i1)).otherwise(index(n2, i2))
-    # pairs of open classes come both ways round
-    once = F.when(is_open(F.col("m1")), F.col("x") < F.col("y")).otherwise(F.col("d1") <= F.col("d2"))
-    return a.join(b, "code").where(once & placed & _alike(n1, F.col("sig1"), n2, F.col("sig2"))).select("x", "y").distinct()
+    alike = _alike(n1, (F.col("a0"), F.col("a1")), n2, (F.col("b0"), F.col("b1")))
+    return a.join(b, "code").where(once & (is_open(F.col("m1")) | is_open(F.col("m2"))) & placed & alike).select("x", "y").distinct()
 
 
 def _few(rows: DataFrame, broadcast_rows: int) -> DataFrame:
-    """``rows`` marked for a broadcast if they are at most so many."""
+    """``rows``, of columns of fixed width, marked for a broadcast if they are at most so many."""
     return F.broadcast(rows) if rows.limit(broadcast_rows + 1).count() <= broadcast_rows else rows
 
 
 def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, broadcast_rows: int) -> DataFrame:
     """``id`` and place of the later one of every pair of ``x`` and ``y`` whose tokens reach the threshold.
 
-    Texts are read again for the classes of the pairs alone, each document's lines cut once.
-    ``crc``, the line's hash, tells rows of the same doc_id apart.
+    Texts are read again, and only the lines of the pairs' classes are cut into tokens. ``crc``, the
+    line's hash, tells rows of the same doc_id apart.
     """
     ids = _few(pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct(), broadcast_rows)
-    wanted = sets.join(ids, "id", "left_semi").groupBy(F.col("doc_id").alias("_d")).agg(F.collect_list(F.struct("id", "line_no", "crc")).alias("due"))
-    texts = docs.where("text IS NOT NULL").join(_few(wanted, broadcast_rows // 4), F.col("doc_id").eqNullSafe(F.col("_d")))
-    # the outer transform binds the cut text to a name, else it would be cut anew for each line
-    cut = F.transform(
-        F.array(F.split("text", "\n")),
-        lambda ls: F.transform("due", lambda d: F.struct(d["id"].alias("id"), d["line_no"].alias("line_no"), d["crc"].alias("crc"), F.get(ls, d["line_no"]).alias("line"))),
-    )
-    texts = texts.select("doc_id", F.explode(F.get(cut, F.lit(0))).alias("e")).select("doc_id", "e.*").where(F.xxhash64("line") == F.col("crc"))
-    texts = texts.select("id", "doc_id", "line_no", F.array_distinct(F.transform(tokens("line"), lambda w: F.xxhash64(w))).alias("words"))
-    texts = texts.select("id", F.struct("doc_id", "line_no", "id").alias("at"), "words")
+    wanted = sets.join(ids, "id", "left_semi").select("id", F.col("doc_id").alias("_d"), F.col("line_no").alias("_l"), F.col("crc").alias("_c"))
+    some = _few(wanted.select("_d").distinct(), broadcast_rows)
+    own = lines(docs.join(some, F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")).withColumn("crc", F.xxhash64("line"))
+    at = (F.col("crc") == F.col("_c")) & (F.col("line_no") == F.col("_l")) & F.col("doc_id").eqNullSafe(F.col("_d"))
+    texts = own.join(_few(wanted, broadcast_rows), at)
+    texts = texts.select("id", F.struct("doc_id", "line_no", "id").alias("at"), F.array_distinct(F.transform(tokens("line"), lambda w: F.xxhash64(w))).alias("words"))
+    texts = texts.dropDuplicates(["id"])  # rows that repeat hold the line twice
     a, b = texts.toDF("x", "at1", "w1"), texts.toDF("y", "at2", "w2")
     alike = F.size(F.array_intersect("w1", "w2")) * (UP + DOWN) >= (F.size("w1") + F.size("w2")) * UP
     apart = ~F.col("at1.doc_id").eqNullSafe(F.col("at2.doc_id")) | (F.col("at1.line_no") != F.col("at2.line_no"))
@@ -143,44 +152,45 @@ def kept_lines(docs: DataFrame, bits: int = BITS, broadcast_rows: int = BROADCAS
     or more with it, as sets of lower-case tokens; an earlier line counts
     whether or not it stays itself. Rows of the same doc_id count as one
     document, and lines at the same place of it don't remove each other; a null
-    doc_id comes first.
+    doc_id comes first. Null and empty texts have no lines to lose, an empty table none at all.
     """
     docs = docs.select("doc_id", "text")
     sets = stored(classes(docs, bits))
     leads = stored(leading(sets))
-    release(docs.sparkSession)
     settled = stored(verified(docs, sets, leads, broadcast_rows))
-    release(docs.sparkSession)
+    discard(leads)
     pairs = stored(candidates(sets, _few(settled.select("id"), broadcast_rows)))
-    release(docs.sparkSession)
-    gone = settled.union(verified(docs, sets, pairs, broadcast_rows)).select(F.col("doc_id").alias("_d"), F.col("line_no").alias("_l"))
+    late = stored(verified(docs, sets, pairs, broadcast_rows))
+    discard(pairs)
+    gone = _few(settled.union(late).select(F.col("doc_id").alias("_d"), F.col("line_no").alias("_l")), broadcast_rows)
     return sets.select("doc_id", "line_no").join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("line_no") == F.col("_l")), "left_anti")
 
 
-def _kept_by_doc(docs: DataFrame, **how) -> DataFrame:
-    blank = lines(docs).where(~F.col("line").rlike(r"[\p{L}\p{N}]")).select("doc_id", "line_no")
-    both = kept_lines(docs, **how).union(blank)
-    return both.groupBy(F.col("doc_id").alias("_doc")).agg(F.array_sort(F.collect_set("line_no")).alias("kept"))
+def _numbers(docs: DataFrame, **how) -> DataFrame:
+    """``own`` (a row as a struct) with the array ``cut`` of its lines and the numbers ``kept`` of those that stay."""
+    kept = kept_lines(docs, **how).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("line_no").alias("due"))
+    rows = docs.select(F.struct("*").alias("own")).join(kept, F.col("own.doc_id").eqNullSafe(F.col("_doc")), "left").withColumn("cut", F.split("own.text", "\n"))
+    some = F.transform("cut", lambda line, i: F.when(~line.rlike(r"[\p{L}\p{N}]"), i))
+    both = F.concat(F.coalesce("due", F.array().cast("array<int>")), F.array_compact(F.coalesce(some, F.array().cast("array<int>"))))
+    return rows.select("own", "cut", F.array_sort(F.array_distinct(both)).alias("kept"))
 
 
 def dedup_lines(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with the texts of the lines that stay; a document without any has an empty text, a null stays null."""
-    kept = _kept_by_doc(docs, **how)
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
-    due = F.coalesce("kept", F.array().cast("array<int>"))
-    text = F.get(F.transform(F.array(F.split("text", "\n")), lambda ls: F.array_join(F.transform(due, lambda i: F.get(ls, i)), "\n")), F.lit(0))
-    return rows.withColumn("text", F.when(F.col("text").isNotNull(), text)).select(*docs.columns)
+    """``docs`` with the texts of the lines that stay; a document without any has an empty text, a null stays null.
+
+    Columns are unchanged, whatever their names.
+    """
+    text = F.when(F.col("own.text").isNotNull(), F.array_join(F.array_compact(F.transform("kept", lambda i: F.get("cut", i))), "\n"))
+    return _numbers(docs, **how).select(F.col("own").withField("text", text).alias("own")).select("own.*")
 
 
 def op4_line_join(spark, sf_dir: str) -> DataFrame:
     """For every document its number of lines and the numbers of those that stay."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    kept = _kept_by_doc(docs)
-    rows = docs.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"))
-    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
+    rows = _numbers(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return rows.select(
-        "doc_id", "n_lines", F.coalesce(F.size("kept"), F.lit(0)).cast("long").alias("n_kept"), F.coalesce(F.array_join("kept", ","), F.lit("")).alias("kept")
-    )
+        F.col("own.doc_id").alias("doc_id"), F.coalesce(F.size("cut"), F.lit(0)).cast("long").alias("n_lines"),
+        F.size("kept").cast("long").alias("n_kept"), F.array_join("kept", ",").alias("kept"),
+    )
 
 
 ORACLE = r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no

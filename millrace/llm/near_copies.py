@@ -18,7 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from millrace.llm.common import discard, numbered, stored
 from millrace.llm.components import components
-from millrace.llm.line_dedup import BITS, BROADCAST_ROWS, DOWN, UP, _alike, _few
+from millrace.llm.line_dedup import BITS, BROADCAST_ROWS, DOWN, SHORT, UP, _alike, _few
 from millrace.llm.simhash import links
 
 #: Words of a shingle, and bits of a fingerprint that SimHash links may differ by.
@@ -102,7 +102,7 @@ def _prefixed(rows: DataFrame, counts: np.ndarray, words: int, bits: int) -> Dat
             for k, t in enumerate(batch.column("text")):
                 s = shingles(t.as_py(), words)
                 code = (rare.value[(s >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
-                odd = np.bincount((code & np.uint64(127)).astype(np.int64), minlength=128) & 1
+                odd = np.bincount((code & np.uint64(127 if len(s) > SHORT else 63)).astype(np.int64), minlength=128) & 1
                 sig[k] = np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
                 keep = len(s) - -(-len(s) * UP // DOWN) + 1 if len(s) else 0
                 prefix.append(np.sort(code)[:keep].view(np.int64))
