@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
@@ -15,15 +16,24 @@ from pyspark.sql import functions as F
 
 #: The public vocabulary: a rank file of byte pieces. Read on the driver only.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-#: At most so many documents of a language are learned from, the first by a hash, and of texts of at most so many bytes.
-TRAIN_DOCS, TRAIN_BYTES = 400, 100_000
-#: Runs of letters are cut after so many bytes; pieces are at most so long (the vocabulary's longest have 33).
-RUN, PIECE = 48, 33
+#: At most so many documents of a language are learned from, the first by a hash, and of each so many characters.
+TRAIN_DOCS, TRAIN_CHARS = 400, 20_000
+#: Words of up to RUN bytes are worked on together, longer ones one by one; pieces are at most so long (the vocabulary's longest have 33).
+RUN, PIECE = 32, 33
+#: Probabilities are scaled by this for each byte, so that sums over RUN bytes of anything from 10^-13 to 1 a byte stay within a double.
+SCALE = 1e4
 #: Words whose scores a worker remembers.
 CACHE = 400_000
 UNKNOWN = "und"
 
-LETTERS = re.compile(r"[^\W\d_]+")
+
+def _letters() -> re.Pattern:
+    """Runs of letters by Unicode category: what Python counts as a word without digits, other numbers and the underscore."""
+    number = "".join(re.escape(c) for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+    return re.compile(rf"[^\W\d_{number}]+")
+
+
+LETTERS = _letters()
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -38,68 +48,102 @@ def vocabulary(path: str = VOCABULARY) -> list[bytes]:
     return sorted({p for p in pieces if len(p) <= PIECE} | {bytes([b]) for b in range(256)})
 
 
-def _cut(word: str) -> list[bytes]:
-    """A word's units: its UTF-8 with a space before it, cut after RUN bytes."""
-    raw = (" " + word).encode("utf-8", "surrogatepass")
-    return [raw] if len(raw) <= RUN else [raw[i : i + RUN] for i in range(0, len(raw), RUN)]
+def _unit(word: str) -> bytes:
+    """What is scored: a word's UTF-8 with a space before it."""
+    return (" " + word).encode("utf-8", "surrogatepass")
 
 
 def units(text: str) -> Counter:
-    """What is scored, and how often it occurs: the units of each run of letters in lower case."""
-    out: Counter = Counter()
-    for word, n in Counter(LETTERS.findall(text.lower())).items():
-        for u in _cut(word):
-            out[u] += n
-    return out
+    """The units of each run of letters in lower case, and how often they occur."""
+    return Counter({_unit(word): n for word, n in Counter(LETTERS.findall(text.lower())).items()})
 
 
 class Lattice:
-    """The pieces within each of some units, in arrays by unit length; log space is not needed for RUN bytes."""
+    """The pieces within each of some units: in arrays by length for those of up to RUN bytes, one by one for longer ones."""
 
     def __init__(self, found: list[bytes], index: dict[bytes, int]):
-        self.size, self.groups = len(found), []
+        self.size, self.groups, self.long = len(found), [], []
         by_length: dict[int, list[int]] = {}
-        for k, u in enumerate(found):
-            by_length.setdefault(len(u), []).append(k)
         none = len(index)
+        for k, u in enumerate(found):
+            if len(u) <= RUN:
+                by_length.setdefault(len(u), []).append(k)
+            else:  # pieces that end at each place, the shortest first
+                ids = [[index.get(u[j - k : j], none) if k <= j else none for k in range(1, PIECE + 1)] for j in range(1, len(u) + 1)]
+                self.long.append((k, np.array(ids, dtype=np.int32)))
         for n, rows in by_length.items():
             spans = [(i, j) for j in range(1, n + 1) for i in range(max(0, j - PIECE), j)]
             cuts = [slice(i, j) for i, j in spans]
             ids = np.array([list(map(index.get, map(found[k].__getitem__, cuts), repeat(none))) for k in rows], dtype=np.int32)
             self.groups.append((n, np.array(rows), spans, ids))
 
-    def forward(self, probs: np.ndarray) -> np.ndarray:
-        """log of the sum over all segmentations, for each unit and language; ``probs`` has a zero row at the end."""
-        out = np.empty((self.size, probs.shape[1]))
+    def forward(self, scaled: np.ndarray) -> np.ndarray:
+        """log of the sum over all segmentations, for each unit and language.
+
+        ``scaled`` has the pieces' probabilities times SCALE to the power of their length, and a zero row at the end.
+        """
+        out = np.empty((self.size, scaled.shape[1]))
         for n, rows, spans, ids in self.groups:
-            out[rows] = np.log(self._alpha(n, spans, ids, probs)[n])
+            out[rows] = np.log(self._alpha(n, spans, ids, scaled)[n]) - n * np.log(SCALE)
+        for k, ids in self.long:
+            out[k] = self._chain(ids, scaled)[1][-1] - len(ids) * np.log(SCALE)
         return out
 
     @staticmethod
-    def _alpha(n: int, spans: list, ids: np.ndarray, probs: np.ndarray) -> list[np.ndarray]:
-        alpha = [np.ones((len(ids), probs.shape[1]))] + [np.zeros((len(ids), probs.shape[1])) for _ in range(n)]
+    def _alpha(n: int, spans: list, ids: np.ndarray, scaled: np.ndarray) -> list[np.ndarray]:
+        alpha = [np.ones((len(ids), scaled.shape[1]))] + [np.zeros((len(ids), scaled.shape[1])) for _ in range(n)]
         for s, (i, j) in enumerate(spans):
-            alpha[j] += alpha[i] * probs[ids[:, s]]
+            alpha[j] += alpha[i] * scaled[ids[:, s]]
         return alpha
 
-    def expected(self, probs: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    @staticmethod
+    def _chain(ids: np.ndarray, scaled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For a long unit: the forward sums of the last PIECE places relative to the place before (for each place), and logs of all."""
+        n, langs = len(ids), scaled.shape[1]
+        logs = np.zeros((n + 1, langs))
+        shares = np.zeros((n, PIECE, langs))
+        for j in range(1, n + 1):
+            k = min(j, PIECE)
+            back = np.exp(logs[j - k : j][::-1] - logs[j - 1])
+            shares[j - 1, :k] = back * scaled[ids[j - 1, :k]]
+            total = shares[j - 1].sum(axis=0)
+            shares[j - 1] /= total
+            logs[j] = logs[j - 1] + np.log(total)
+        return shares, logs
+
+    def expected(self, scaled: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Expected number of uses of each piece in each language, by forward and backward sums."""
-        out = np.zeros_like(probs)
+        out = np.zeros_like(scaled)
         for n, rows, spans, ids in self.groups:
-            alpha = self._alpha(n, spans, ids, probs)
+            alpha = self._alpha(n, spans, ids, scaled)
             beta = [np.zeros_like(alpha[0]) for _ in range(n)] + [np.ones_like(alpha[0])]
             for s in range(len(spans) - 1, -1, -1):
                 i, j = spans[s]
-                beta[i] += beta[j] * probs[ids[:, s]]
+                beta[i] += beta[j] * scaled[ids[:, s]]
             scale = counts[rows] / alpha[n]
             for s, (i, j) in enumerate(spans):
-                use = alpha[i] * beta[j] * probs[ids[:, s]] * scale
-                for lang in range(probs.shape[1]):
+                use = alpha[i] * beta[j] * scaled[ids[:, s]] * scale
+                for lang in range(scaled.shape[1]):
                     out[:, lang] += np.bincount(ids[:, s], use[:, lang], len(out))
+        for k, ids in self.long:
+            # a piece that ends at a place is used as often as the place is reached, times its share there
+            shares, _ = self._chain(ids, scaled)
+            reached = np.zeros((len(ids) + 1, scaled.shape[1]))
+            reached[-1] = counts[k]
+            for j in range(len(ids), 0, -1):
+                use = shares[j - 1] * reached[j]
+                np.add.at(out, ids[j - 1], use)
+                m = min(j, PIECE)
+                reached[j - m : j] += use[:m][::-1]
         out[-1] = 0
         return out
 
 
+def scaled(pieces: list[bytes], probs: np.ndarray) -> np.ndarray:
+    """Probabilities (with a zero row last) as ``Lattice`` takes them."""
+    return probs * np.r_[SCALE ** np.array([len(p) for p in pieces], dtype=float), 1.0][:, None]
+
+
 def learn(samples: list[tuple[str, str]], pieces: list[bytes], rounds: int = 4, smooth: float = 0.1) -> tuple[list[str], np.ndarray]:
     """Languages, and the probability of each piece in each (a zero row last), by expectation maximisation.
 
@@ -117,7 +161,7 @@ def learn(samples: list[tuple[str, str]], pieces: list[bytes], rounds: int = 4,
     probs = np.zeros((len(pieces) + 1, len(langs)))
     probs[:-1] = (1.0 / (np.exp2(length) * np.bincount(length, minlength=PIECE + 1)[length]))[:, None]
     for _ in range(rounds):
-        use = lattice.expected(probs, counts)[:-1]
+        use = lattice.expected(scaled(pieces, probs), counts)[:-1]
         common = (use.sum(axis=1) + 0.01) / (use.sum() + 0.01 * len(pieces))
         own = use / np.maximum(use.sum(axis=0), 1)
         probs[:-1] = (1 - smooth) * own + smooth * common[:, None]
@@ -128,21 +172,19 @@ class Scorer:
     """Scores whole texts with a learned model; remembers the scores of words."""
 
     def __init__(self, langs: list[str], pieces: list[bytes], probs: np.ndarray):
-        self.langs, self.probs = langs, probs
+        self.langs, self.scaled = langs, scaled(pieces, probs)
         self.index = {p: i for i, p in enumerate(pieces)}
         self.known: dict[bytes, int] = {}
         self.rows = np.empty((CACHE, len(langs)))
 
     def _learn(self, words: list[str]) -> None:
-        """Rows for words not met before: the sums over their units."""
+        """Rows for words not met before: the sums over all their segmentations."""
         for i in range(0, len(words), 20_000):
             some = words[i : i + 20_000]
-            cut = [_cut(w) for w in some]
-            logs = Lattice([u for c in cut for u in c], self.index).forward(self.probs)
-            start, n = np.cumsum([0, *map(len, cut)]), len(self.known)
+            n = len(self.known)
             while n + len(some) > len(self.rows):
                 self.rows = np.concatenate((self.rows, np.empty_like(self.rows)))
-            self.rows[n : n + len(some)] = np.add.reduceat(logs, start[:-1])
+            self.rows[n : n + len(some)] = Lattice(list(map(_unit, some)), self.index).forward(self.scaled)
             self.known.update(zip(some, range(n, n + len(some)), strict=True))
 
     def scores(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
@@ -165,9 +207,14 @@ class Scorer:
 
 
 def train(docs: DataFrame, vocabulary_path: str = VOCABULARY, train_docs: int = TRAIN_DOCS) -> tuple[list[str], list[bytes], np.ndarray]:
-    """A model from a bounded sample: of each language the ``train_docs`` documents that come first by a hash of the text, copies counted once."""
-    rows = docs.where(~held_out() & F.col("lang").isNotNull() & (F.octet_length("text") <= TRAIN_BYTES)).select("lang", "text")
-    rows = rows.select("lang", F.md5("text").alias("h"), "text")
+    """A model from a bounded sample: of each language the ``train_docs`` documents that come first by a hash of the text, copies counted once.
+
+    Of a longer text a passage of TRAIN_CHARS characters is learned from, from a place that its hash says. So no
+    language is left out for the length of its texts, and at most train_docs * TRAIN_CHARS characters of each come to the driver.
+    """
+    rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
+    start = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - TRAIN_CHARS + 1, F.lit(1))).cast("int") + 1
+    rows = rows.select("lang", F.md5("text").alias("h"), "text", start.alias("start"))
     # a share by hash of each language, so that a common one is no hot group; its least hashes are then chosen
     # of the language's distinct texts, so that many copies of one don't empty its sample
     firsts = rows.select("lang", F.xxhash64("text").alias("t")).distinct().groupBy("lang").agg(F.count("*").alias("n"))
@@ -176,7 +223,7 @@ def train(docs: DataFrame, vocabulary_path: str = VOCABULARY, train_docs: int =
     share = rows.join(firsts, "lang").where(
         F.conv(F.substring("h", 1, 8), 16, 10).cast("double") / float(1 << 32) < F.lit(1.5 * train_docs) / F.col("n")
     )
-    sample = share.select("lang", "h", "text").distinct().collect()
+    sample = share.select("lang", "h", F.substring("text", F.col("start"), F.lit(TRAIN_CHARS)).alias("text")).distinct().collect()
     chosen: dict[str, list] = {}
     for r in sorted(sample, key=lambda r: (r.lang, r.h)):
         if len(chosen.setdefault(r.lang, [])) < train_docs:
@@ -191,7 +238,7 @@ def identify(docs: DataFrame, learned_from: DataFrame | None = None, vocabulary_
 
     Learns from ``learned_from`` (``doc_id``, ``text``, ``lang``; ``docs`` itself by
     default). A null text or one without letters is ``und`` with score 0, and so is
-    all if there is nothing to learn from. Texts are scored whole. A worker remembers the scores of some words only.
+    all if there is nothing to learn from. Texts are scored whole, and words of any length over all their segmentations. A worker remembers the scores of some words only.
     """
     langs, pieces, probs = train(learned_from if learned_from is not None else docs, vocabulary_path)
     # its size follows the vocabulary and the number of languages, not the documents
@@ -215,10 +262,12 @@ def identify(docs: DataFrame, learned_from: DataFrame | None = None, vocabulary_
 
 
 def accept(docs: DataFrame, sure: float = 0.5, **how) -> DataFrame:
-    """``docs`` without those whose language is unknown or less than ``sure``; columns unchanged."""
-    rows = docs.withColumnsRenamed({c: f"own_{c}" for c in ("lang_pred", "score") if c in docs.columns})
-    out = identify(rows, docs, keep=rows.columns, **how).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= sure))
-    return out.select(*[F.col(f"own_{c}").alias(c) if c in ("lang_pred", "score") else F.col(c) for c in docs.columns])
+    """``docs`` without the rows whose language is unknown or less than ``sure``; columns unchanged, whatever their names.
+
+    Rows with null or blank texts or none but numbers and signs go; repeated rows are judged alike.
+    """
+    out = identify(docs.select(F.struct("*").alias("own"), "text"), docs, keep=["own"], **how)
+    return out.where((F.col("lang_pred") != UNKNOWN) & ~F.isnan("score") & (F.col("score") >= sure)).select("own.*")
 
 
 def op6_unigram(spark, sf_dir: str) -> DataFrame:

@@ -11,18 +11,28 @@ from millrace.llm import toxicity as T
 SF = "/root/testdata/sf0.01"
 
 
-def test_forward_sums_all_segmentations():
+@pytest.mark.parametrize("run", [32, 3])
+def test_forward_sums_all_segmentations(monkeypatch, run):
     pieces = [b"a", b"b", b" ", b"ab", b" a", b"ba", b" ab"]
     index = {p: i for i, p in enumerate(pieces)}
     probs = np.vstack([np.random.default_rng(0).random((len(pieces), 2)), np.zeros(2)])
-    for word in (b" abab", b" b", b" aab"):
-        want = np.zeros(2)
+    monkeypatch.setattr(L, "RUN", run)
+    words = [b" abab", b" b", b" aab"]
+    use = L.Lattice(words, index).expected(L.scaled(pieces, probs), np.ones((3, 2)))
+    due = np.zeros_like(use)
+    for k, word in enumerate(words):
+        want, used = np.zeros(2), np.zeros_like(use)
         for cuts in itertools.product([0, 1], repeat=len(word) - 1):
             ends = [0, *[i + 1 for i, c in enumerate(cuts) if c], len(word)]
             parts = [word[a:b] for a, b in itertools.pairwise(ends)]
             if all(p in index for p in parts):
-                want += np.prod([probs[index[p]] for p in parts], axis=0)
-        assert np.allclose(np.exp(L.Lattice([word], index).forward(probs)[0]), want)
+                p = np.prod([probs[index[x]] for x in parts], axis=0)
+                want += p
+                for x in parts:
+                    used[index[x]] += p
+        due += used / want
+        assert np.allclose(np.exp(L.Lattice(words, index).forward(L.scaled(pieces, probs))[k]), want)
+    assert np.allclose(use, due)
 
 
 def test_language_held_out(spark):
@@ -41,6 +51,30 @@ def test_language_odd_rows(spark):
     assert L.identify(odd.limit(0), docs).count() == 0
 
 
+@pytest.fixture(scope="module")
+def scorer(spark):
+    return L.Scorer(*L.train(spark.read.parquet(f"{SF}/documents.parquet")))
+
+
+@pytest.mark.parametrize("text", ["\U00012000" * 12, "\u1200\u1208\u1210" * 10, "\ua984\ua985" * 15, "x" * 5000, "five words of english text " + "\U00012000" * 12])
+def test_unseen_scripts_have_scores(scorer, text):
+    lang, score = next(scorer.scores([text]))
+    assert lang in ("de", "en", "es", "fr") and 0 <= score <= 1
+
+
+def test_numbers_are_no_letters(spark):
+    docs = spark.createDataFrame([(1, "\u00bd \u2461 \u2167 12 _", "en"), (2, "words of a text", "en")], "doc_id long, text string, lang string")
+    assert [r.lang_pred for r in L.identify(docs, docs).orderBy("doc_id").collect()][0] == "und"
+    assert [r.doc_id for r in L.accept(docs).collect()] == [2]
+
+
+def test_long_texts_teach_their_language(spark):
+    rows = [(i, " ".join(f"{a}{b}{c}" for c in "xyzuvw" for b in "aeiou" for a in "bcdfgh") * 60, "xx") for i in range(12)]
+    rows += [(100 + i, "plain words of another tongue altogether", "yy") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert L.train(docs)[0] == ["xx", "yy"]
+
+
 def test_machine_learns_interactions():
     rng = np.random.default_rng(1)
     bags, labels = [], []
