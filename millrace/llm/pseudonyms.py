@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
 import datetime
+import functools
 import hashlib
 import re
 from collections.abc import Callable, Iterator
@@ -16,9 +18,18 @@ ROUNDS = 8
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 #: IBAN lengths by country (ISO 13616 registry).
 IBAN_LENGTHS = {
-    "AT": 20, "BE": 16, "CH": 21, "CZ": 24, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "IE": 22, "IT": 27,
-    "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "SE": 24,
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28, "CH": 21, "CR": 22,
+    "CY": 28, "CZ": 24, "DE": 22, "DJ": 27, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FK": 18, "FO": 18, "FR": 27, "GB": 22,
+    "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30,
+    "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MN": 20, "MR": 27,
+    "MT": 31, "MU": 30, "NI": 28, "NL": 18, "NO": 15, "OM": 23, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "RU": 33,
+    "SA": 24, "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "SO": 23, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29,
+    "VA": 22, "VG": 24, "XK": 20, "YE": 30,
 }
+#: Country calling codes of one and of two digits (ITU E.164); all others have three.
+CALLING_CODES = (
+    "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98"
+).split()
 
 
 class Permutation:
@@ -110,6 +121,17 @@ def _phone(m: re.Match) -> Parsed | None:
     return "phone", 10**10, int(digits), lambda x: _refill(m[0], f"{x:010d}")
 
 
+def _abroad(m: re.Match) -> Parsed | None:
+    """A number with a country code, which stays; ten digits after +1 link with the number written without it."""
+    digits = re.sub(r"\D", "", m[0])
+    code = next((digits[:n] for n in (1, 2) if digits[:n] in CALLING_CODES), digits[:3])
+    n = len(digits) - len(code)
+    if digits[0] == "0" or not 7 <= n <= 15 - len(code) or (code == "1" and n != 10):
+        return None
+    kind = "phone" if code == "1" else f"phone{code}-{n}"
+    return kind, 10**n, int(digits[len(code) :]), lambda x: _refill(m[0], f"{code}{x:0{n}d}")
+
+
 def _ssn(m: re.Match) -> Parsed | None:
     area, group, serial = map(int, (m[1], m[2], m[3]))
     if not 0 < area < 900 or area == 666 or not group or not serial:
@@ -133,22 +155,46 @@ def _ipv4(m: re.Match) -> Parsed | None:
     return "ipv4", 1 << 32, x, lambda y: ".".join(map(str, y.to_bytes(4, "big")))
 
 
-def _date(order: str, sep: int):
-    def parse(m: re.Match) -> Parsed | None:
-        got = dict(zip(order, (m[i] for i in range(1, 5) if i != sep), strict=True))
-        try:
-            day = datetime.date(*(int(got[k]) for k in "ymd")).toordinal()
-        except ValueError:
-            return None
-        if not FIRST_DAY <= day <= LAST_DAY:
-            return None
+@functools.cache
+def _days(late: bool | None, widths: tuple[int, int] | None) -> list[int]:
+    """The ordinals of the days that are (not) after the 12th of their month and whose day and month have so many digits."""
+    days = map(datetime.date.fromordinal, range(FIRST_DAY, LAST_DAY + 1))
+    return [d.toordinal() for d in days if late in (None, d.day > 12) and widths in (None, (len(str(d.day)), len(str(d.month))))]
+
 
-        def text(x: int) -> str:
-            d = datetime.date.fromordinal(FIRST_DAY + x)
-            new = {"y": f"{d.year:04d}", "m": f"{d.month:02d}", "d": f"{d.day:02d}"}
-            return m[sep].join(new[k] for k in order)
+def _date(*orders: str, sep: int):
+    """Orders are tried in turn; dates by the later ones must not read as dates by the first.
 
-        return "date", LAST_DAY - FIRST_DAY + 1, day - FIRST_DAY, text
+    Days up to the 12th are permuted among themselves, and so are later ones: so a date that can only be read
+    month first gives another such, and dates link across formats. Where the day or the month has
+    no leading zero, only days of as many digits are exchanged, which link with their like alone.
+    """
+
+    def parse(m: re.Match) -> Parsed | None:
+        parts = [m[i] for i in range(1, 5) if i != sep]
+        for order in orders:
+            got = dict(zip(order, parts, strict=True))
+            try:
+                date = datetime.date(*(int(got[k]) for k in "ymd"))
+            except ValueError:
+                continue
+            day, widths = date.toordinal(), (len(got["d"]), len(got["m"]))
+            if not FIRST_DAY <= day <= LAST_DAY:
+                return None
+            plain = widths == (2, 2)
+            if not plain and any(got[k].startswith("0") for k in "dm"):
+                return None
+            late = date.day > 12 if plain or order == "mdy" else None
+            days = _days(late, None if plain else widths)
+
+            def text(x: int, days=days, order=order, plain=plain) -> str:
+                d = datetime.date.fromordinal(days[x])
+                new = {"y": f"{d.year:04d}", "m": f"{d.month:02d}" if plain else str(d.month), "d": f"{d.day:02d}" if plain else str(d.day)}
+                return m[sep].join(new[k] for k in order)
+
+            kind = f"date{late}" if plain else f"date{order}{widths}{late}"
+            return kind, len(days), bisect.bisect_left(days, day), text
+        return None
 
     return parse
 
@@ -159,19 +205,25 @@ def _iban_pattern(country: str, length: int) -> str:
     return rf"{country}\d\d(?: ?[A-Z0-9]{{4}}){{{fours}}}" + (rf" ?[A-Z0-9]{{{rest}}}" if rest else "")
 
 
-#: Kinds in the order in which they are tried at a place. Dates with slashes or dots are day, month, year.
+#: Kinds in the order in which they are tried at a place. Dates with slashes are day, month, year, or month, day, year if only that is a date; those with dots the former.
 KINDS: dict[str, tuple[str, Callable[[re.Match], Parsed | None]]] = {
     "iban": (f"(?:{'|'.join(_iban_pattern(*x) for x in IBAN_LENGTHS.items())})(?![A-Z0-9])", _iban),
     "ssn": (r"(\d{3})-(\d{2})-(\d{4})(?![-\d])", _ssn),
-    "iso_date": (r"(\d{4})(-)(\d{2})-(\d{2})(?![-\d])", _date("ymd", 2)),
-    "date": (r"(\d{2})([./])(\d{2})\2(\d{4})(?!\d)", _date("dmy", 2)),
+    "iso_date": (r"(\d{4})(-)(\d{2})-(\d{2})(?![-\d])", _date("ymd", sep=2)),
+    "date": (r"(\d{1,2})(/)(\d{1,2})/(\d{4})(?!\d)", _date("dmy", "mdy", sep=2)),
+    "dotted_date": (r"(\d{1,2})(\.)(\d{1,2})\.(\d{4})(?!\d)", _date("dmy", sep=2)),
     "ipv4": (r"\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)", _ipv4),
-    "phone": (r"(?:\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?![-\d])", _phone),
+    "abroad": (r"\+\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{1,4}){2,6}(?!\d)", _abroad),
+    "phone": (r"(?:\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4})(?![-\d])", _phone),
     "card": (r"(?:\d[ -]?){12,18}\d(?!\d)", _card),
 }
-#: On a failed check a card's shorter ends are tried too, the longest first.
-_SHORTER = {"card": [re.compile(rf"(?:\d[ -]?){{{n}}}\d(?!\d)") for n in range(17, 11, -1)]}
-_STARTS = re.compile(r"(?<![\w.-])(?=[A-Z]{2}\d{2}|\d|\()")
+#: On a failed check the shorter ends of cards and of numbers with a country code are tried too, the longest first.
+_SHORTER = {
+    "card": [re.compile(rf"(?:\d[ -]?){{{n}}}\d(?!\d)") for n in range(17, 11, -1)],
+    "abroad": [re.compile(rf"\+(?:[ .-]?\(?\d\)?){{{n}}}(?!\d)") for n in range(15, 7, -1)],
+}
+#: A value may follow anything but a letter or digit, or a digit with a dot or dash.
+_STARTS = re.compile(r"(?<!\w)(?<!\d[.-])(?=[A-Z]{2}\d{2}|\d|\(\d|\+\d)")
 _HAS = re.compile(r"\d")
 _PATTERNS = [(k, re.compile(p), f) for k, (p, f) in KINDS.items()]
 
@@ -227,7 +279,7 @@ class Pseudonymiser:
 def pseudonymise(docs: DataFrame, key: bytes, kinds: list[str] | None = None, back: bool = False) -> DataFrame:
     """``docs`` with its ``text`` replaced and ``pii`` added: an array of kind, ``start``, ``end``, ``new_start``, ``new_end``.
 
-    Cards (Luhn), IBANs (modulo 97), US social security and phone numbers, IPv4
+    Cards (Luhn), IBANs (modulo 97), US social security numbers, phone numbers (US, and any with a country code), IPv4
     addresses and calendar dates from 1900 to 2099 that pass their checks are
     permuted within their format by a Feistel network keyed with ``key``: the new
     value passes the same checks and keeps its separators. The permutation is of
@@ -236,7 +288,7 @@ def pseudonymise(docs: DataFrame, key: bytes, kinds: list[str] | None = None, ba
     the old one was, unless the text around it happens to read on: a card followed by more
     digits after a separator, of up to 19 in all, is read with them if that passes the check (one time in ten).
 
-    Numbers that fail their check stay. Nulls stay null with an empty ``pii``;
+    Numbers that fail their check stay. Nulls stay null with an empty ``pii``, repeated rows get equal texts;
     other columns pass unchanged, but one named ``pii`` is replaced. One pass
     over whole texts, no shuffle.
     """
@@ -267,6 +319,6 @@ def op1_feistel(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = pseudonymise(docs, b"millrace example key")
     count = [F.size(F.filter("pii", _of(some))).alias(f"n_{k}") for k, some in (
-        ("card", ["card"]), ("iban", ["iban"]), ("phone", ["phone"]), ("ssn", ["ssn"]), ("ipv4", ["ipv4"]), ("date", ["date", "iso_date"]))]
+        ("card", ["card"]), ("iban", ["iban"]), ("phone", ["phone", "abroad"]), ("ssn", ["ssn"]), ("ipv4", ["ipv4"]), ("date", ["date", "dotted_date", "iso_date"]))]
     spans = F.array_join(F.transform("pii", lambda p: F.concat_ws(":", p["kind"], p["new_start"].cast("string"), p["new_end"].cast("string"))), ",")
     return out.select("doc_id", "text", *count, spans.alias("spans"))

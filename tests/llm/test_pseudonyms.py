@@ -22,7 +22,8 @@ def test_known_checks():
 
 
 CASES = ["4532015112830366", "4532-0151-1283-0366", "4532 0151 1283 0366", "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000",
-         "123-45-6789", "2024-02-29", "29/02/2024", "31.12.1999", "192.168.0.1", "(017) 555-7713", "017-555-7713"]
+         "123-45-6789", "2024-02-29", "29/02/2024", "31.12.1999", "192.168.0.1", "(017) 555-7713", "017-555-7713", "12/31/1999", "1/2/1999", "1/31/1999", "31/1/1999", "+1 (017) 555-7713",
+         "+1-017-555-7713", "+44 20 7946 0958", "+4915112345678", "017.555.7713", "HU42 1177 3016 1111 1018 0000 0000", "GR1601101250000000012300695"]
 
 
 @pytest.mark.parametrize("value", CASES)
@@ -41,6 +42,48 @@ def test_formats(value):
     assert p.apply(new, back=True)[0] == text
 
 
+@pytest.mark.parametrize("text, value", [
+    ("4111 1111 1111 1111 12/25", "4111 1111 1111 1111"), ("4111111111111111 7", "4111111111111111"), ("4111-1111-1111-1111-9", "4111-1111-1111-1111"),
+    ("x-4111111111111111", "4111111111111111"), ("tel.017-555-7713", "017-555-7713"), ("4465758382889437 4465758382889437", "4465758382889437"),
+    ("call +1 017-555-7713 12 times", "017-555-7713"), ("GR1601101250000000012300695 OK", "GR1601101250000000012300695")])
+def test_values_with_neighbours_go(text, value):
+    p = P.Pseudonymiser(KEY)
+    new, spans = p.apply(text)
+    assert spans and value not in new
+
+
+def test_dates_link_across_formats():
+    p = P.Pseudonymiser(KEY)
+    for day in (datetime.date(1999, 12, 31), datetime.date(2001, 3, 4)):
+        new = [p.apply(day.strftime(f))[0] for f in ("%Y-%m-%d", "%d/%m/%Y", "%d.%m.%Y")]
+        got = {datetime.datetime.strptime(x, f).date() for x, f in zip(new, ("%Y-%m-%d", "%d/%m/%Y", "%d.%m.%Y"), strict=True)}
+        assert len(got) == 1 and got != {day}
+    us = p.apply("12/31/1999")[0]
+    assert datetime.datetime.strptime(us, "%m/%d/%Y").date().isoformat() == p.apply("1999-12-31")[0]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.dates(datetime.date(1900, 1, 1), datetime.date(2099, 12, 31)), st.sampled_from(["{d}/{m}/{y}", "{m}/{d}/{y}", "{d:02d}/{m}/{y}", "{d}.{m}.{y}", "{m:02d}/{d:02d}/{y}"]))
+def test_short_dates_round_trip(day, form):
+    p = P.Pseudonymiser(KEY)
+    text = form.format(d=day.day, m=day.month, y=day.year)
+    new, spans = p.apply(text)
+    assert p.apply(new, back=True)[0] == text and len(new) == len(text)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from([*CASES, "17", "2024", "a", "-", ",", "(x)", "9"]), min_size=1, max_size=6), st.sampled_from([" ", "; ", "\n"]))
+def test_every_value_among_others_goes(parts, sep):
+    """Brute force: wherever a whole value stands between blanks, it is read, unless an earlier value took a part of it."""
+    text = sep.join(parts)
+    new, spans = P.Pseudonymiser(KEY).apply(text)
+    at = 0
+    for x in parts:
+        if x in CASES:
+            assert any(s[1] < at + len(x) and at < s[2] for s in spans)
+        at += len(x) + len(sep)
+
+
 def test_links_across_formats():
     p = P.Pseudonymiser(KEY)
     digits = {re.sub(r"\D", "", p.apply(x)[0]) for x in CASES[:3]}
