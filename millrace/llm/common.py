@@ -55,6 +55,11 @@ def discard(*copies: DataFrame) -> None:
         rows.sparkSession.createDataFrame([], rows.schema).write.mode("overwrite").parquet(rows.stored_at)
 
 
+def few(rows: DataFrame, most: int) -> DataFrame:
+    """``rows``, of columns of fixed width, marked for a broadcast if they are at most so many, which is counted."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
 def numbered(rows: DataFrame) -> DataFrame:
     """``_file`` and ``_row``, which name a row, and the row itself as the struct ``own``.
 

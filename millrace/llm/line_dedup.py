@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import discard, stored
+from millrace.llm.common import discard, few, stored
 from millrace.llm.decontaminate import tokens
 
 #: Jaccard of at least UP / DOWN = 0.8, in whole numbers.
@@ -120,23 +120,18 @@ def candidates(sets: DataFrame, settled: DataFrame) -> DataFrame:
     return a.join(b, "code").where(once & (is_open(F.col("m1")) | is_open(F.col("m2"))) & placed & alike).select("x", "y").distinct()
 
 
-def _few(rows: DataFrame, broadcast_rows: int) -> DataFrame:
-    """``rows``, of columns of fixed width, marked for a broadcast if they are at most so many."""
-    return F.broadcast(rows) if rows.limit(broadcast_rows + 1).count() <= broadcast_rows else rows
-
-
 def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, broadcast_rows: int) -> DataFrame:
     """``id`` and place of the later one of every pair of ``x`` and ``y`` whose tokens reach the threshold.
 
     Texts are read again, and only the lines of the pairs' classes are cut into tokens. ``crc``, the
     line's hash, tells rows of the same doc_id apart.
     """
-    ids = _few(pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct(), broadcast_rows)
+    ids = few(pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct(), broadcast_rows)
     wanted = sets.join(ids, "id", "left_semi").select("id", F.col("doc_id").alias("_d"), F.col("line_no").alias("_l"), F.col("crc").alias("_c"))
-    some = _few(wanted.select("_d").distinct(), broadcast_rows)
+    some = few(wanted.select("_d").distinct(), broadcast_rows)
     own = lines(docs.join(some, F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")).withColumn("crc", F.xxhash64("line"))
     at = (F.col("crc") == F.col("_c")) & (F.col("line_no") == F.col("_l")) & F.col("doc_id").eqNullSafe(F.col("_d"))
-    texts = own.join(_few(wanted, broadcast_rows), at)
+    texts = own.join(few(wanted, broadcast_rows), at)
     texts = texts.select("id", F.struct("doc_id", "line_no", "id").alias("at"), F.array_distinct(F.transform(tokens("line"), lambda w: F.xxhash64(w))).alias("words"))
     texts = texts.dropDuplicates(["id"])  # rows that repeat hold the line twice
     a, b = texts.toDF("x", "at1", "w1"), texts.toDF("y", "at2", "w2")
@@ -159,10 +154,10 @@ def kept_lines(docs: DataFrame, bits: int = BITS, broadcast_rows: int = BROADCAS
     leads = stored(leading(sets))
     settled = stored(verified(docs, sets, leads, broadcast_rows))
     discard(leads)
-    pairs = stored(candidates(sets, _few(settled.select("id"), broadcast_rows)))
+    pairs = stored(candidates(sets, few(settled.select("id"), broadcast_rows)))
     late = stored(verified(docs, sets, pairs, broadcast_rows))
     discard(pairs)
-    gone = _few(settled.union(late).select(F.col("doc_id").alias("_d"), F.col("line_no").alias("_l")), broadcast_rows)
+    gone = few(settled.union(late).select(F.col("doc_id").alias("_d"), F.col("line_no").alias("_l")), broadcast_rows)
     return sets.select("doc_id", "line_no").join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("line_no") == F.col("_l")), "left_anti")
 
 

@@ -16,9 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from millrace.llm.common import discard, numbered, stored
+from millrace.llm.common import discard, few, numbered, stored
 from millrace.llm.components import components
-from millrace.llm.line_dedup import BITS, BROADCAST_ROWS, DOWN, SHORT, UP, _alike, _few
+from millrace.llm.line_dedup import BITS, BROADCAST_ROWS, DOWN, SHORT, UP, _alike
 from millrace.llm.simhash import links
 
 #: Words of a shingle, and bits of a fingerprint that SimHash links may differ by.
@@ -147,9 +147,9 @@ def _crossing(codes: DataFrame) -> DataFrame:
     most = rows.where("many").groupBy("code", "comp").agg(F.count("*").alias("k")).groupBy("code").agg(F.max(F.struct("k", "comp"))["comp"].alias("most"))
     rows = rows.select("code", "id", "comp", "s0", "s1", (F.shiftleft("n", 32) + F.col("i")).alias("m"), "many")
     a = rows.drop("many").toDF("code", "x", "c1", "a0", "a1", "m1")
-    few, many = rows.where("NOT many").drop("many"), rows.where("many").drop("many")
+    single, many = rows.where("NOT many").drop("many"), rows.where("many").drop("many")
     others = many.join(most, "code").where("comp <> most").drop("most")
-    b = few.union(others.select(few.columns)).toDF("code", "y", "c2", "b0", "b1", "m2")
+    b = single.union(others.select(single.columns)).toDF("code", "y", "c2", "b0", "b1", "m2")
     n1, n2 = F.shiftright("m1", 32), F.shiftright("m2", 32)
     i1, i2 = F.col("m1").bitwiseAND(F.lit((1 << 31) - 1)), F.col("m2").bitwiseAND(F.lit((1 << 31) - 1))
     placed = F.least(n1 - i1, n2 - i2) * (UP + DOWN) >= (n1 + n2) * UP
@@ -162,9 +162,9 @@ def _crossing(codes: DataFrame) -> DataFrame:
 
 def _true(rows: DataFrame, sets: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
     """The pairs ``x``, ``y`` of classes whose shingles reach the threshold; texts of these classes alone are read again."""
-    ids = _few(pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct(), BROADCAST_ROWS)
+    ids = few(pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct(), BROADCAST_ROWS)
     wanted = sets.join(ids, "id", "left_semi").select("id", "o._file", "o._row")
-    texts = _hashed(rows.join(_few(wanted, BROADCAST_ROWS), ["_file", "_row"]), words)
+    texts = _hashed(rows.join(few(wanted, BROADCAST_ROWS), ["_file", "_row"]), words)
     a, b = texts.toDF("x", "w1"), texts.toDF("y", "w2")
     alike = F.size(F.array_intersect("w1", "w2")) * (UP + DOWN) >= (F.size("w1") + F.size("w2")) * UP
     return pairs.join(a, "x").join(b, "y").where(alike).select("x", "y")
@@ -205,7 +205,7 @@ def drop_copies(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE, b
     sizes = joined.groupBy("comp").agg((F.count("*") > MANY).alias("many")).where("many")
     of = joined.where("n > 3").select("id", F.col("n").cast("int").alias("n"), "comp", "o._file", "o._row").join(sizes, "comp", "left")
     of = of.select("id", "n", "comp", F.coalesce("many", F.lit(False)).alias("many"), "_file", "_row")
-    prefixed = _prefixed(rows.join(_few(of.select("id", "_file", "_row"), BROADCAST_ROWS), ["_file", "_row"]), counts, words, bits)
+    prefixed = _prefixed(rows.join(few(of.select("id", "_file", "_row"), BROADCAST_ROWS), ["_file", "_row"]), counts, words, bits)
     codes = stored(prefixed.join(of.drop("n", "_file", "_row").join(sets.select("id", F.col("n").cast("int").alias("n")), "id"), "id"))
     pairs = stored(_crossing(codes))
     discard(codes)

@@ -10,12 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import stored
+from millrace.llm.common import few, stored
 
 #: Dimensions of the projection (even, for the closed form below), and the test's confidence.
 DIMS, SURE = 10, 0.98
-#: Vectors of a cell, queries of a block, and vectors of a leaf, about; and the sample that cells are fitted on.
-CELL, BLOCK, LEAF, SAMPLE = 16_384, 256, 32, 20_000
+#: Vectors of a cell, queries that meet a cell in one task, and vectors of a leaf, about; the sample that cells are fitted on, of
+#: which each cell should have SHAPE vectors; and rows of a few numbers that are broadcast at most.
+CELL, BLOCK, LEAF, SAMPLE, SHAPE, BROADCAST_ROWS = 16_384, 4_096, 32, 200_000, 8, 200_000
+#: Cosines are found to this precision first, and then exactly.
+CLOSE = 1e-9
 
 
 def chi_square(x: np.ndarray, dims: int) -> np.ndarray:
@@ -75,21 +78,27 @@ def locate(points: np.ndarray, splits: list[tuple[int, float]]) -> np.ndarray:
     return at
 
 
-def boxes(splits: list[tuple[int, float]], dims: int) -> tuple[np.ndarray, np.ndarray]:
-    """Lower and upper corners of the leaves' cells; the outer ones are open."""
-    lo, hi = [np.full(dims, -np.inf)], [np.full(dims, np.inf)]
+def within(low: np.ndarray, splits: list[tuple[int, float]], limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a point's row and a leaf whose box lies within the point's squared ``limit``, found from the root down."""
     depth = (len(splits) + 1).bit_length() - 1
+    row, at, off = np.arange(len(low)), np.zeros(len(low), dtype=np.int64), np.zeros_like(low)
     for d in range(depth):
-        new_lo, new_hi = [], []
-        for i in range(1 << d):
-            axis, cut = splits[(1 << d) - 1 + i]
-            left, right = hi[i].copy(), lo[i].copy()
-            if axis >= 0:
-                left[axis], right[axis] = cut, cut
-            new_lo += [lo[i], right]
-            new_hi += [left, hi[i]]
-        lo, hi = new_lo, new_hi
-    return np.array(lo), np.array(hi)
+        axes, cuts = np.array([s[0] for s in splits[(1 << d) - 1 : (2 << d) - 1]]), np.array([s[1] for s in splits[(1 << d) - 1 : (2 << d) - 1]])
+        axis = np.maximum(axes[at], 0)
+        gap = low[row, axis] - cuts[at]
+        right = (axes[at] >= 0) & (gap >= 0)
+        # over the cut, the box is as far along its axis as the cut is
+        far = off.copy()
+        far[np.arange(len(row)), axis] = gap
+        reach = (axes[at] >= 0) & ((far * far).sum(axis=1) <= limit[row])
+        row, off, at = np.r_[row, row[reach]], np.concatenate((off, far[reach])), np.r_[2 * at + right, 2 * at[reach] + ~right[reach]]
+    return row, at
+
+
+def exact(a: np.ndarray, b: np.ndarray) -> float:
+    """Cosine of two vectors, reckoned in extended precision and rounded once, so that equal cosines come out equal."""
+    a, b = a.astype(np.longdouble), b.astype(np.longdouble)
+    return float((a * b).sum() / np.sqrt((a * a).sum() * (b * b).sum()))
 
 
 class Cell:
@@ -105,10 +114,10 @@ class Cell:
         self.lo = np.minimum.reduceat(self.low, self.start[:-1])
         self.hi = np.maximum.reduceat(self.low, self.start[:-1])
 
-    def search(self, raw: np.ndarray, low: np.ndarray, own: int, k: int, bound: float, stop: float) -> list[tuple[float, int]]:
+    def search(self, raw: np.ndarray, low: np.ndarray, k: int, bound: float, stop: float) -> list[tuple[float, int]]:
         """Best (cosine, id) of a query, leaves in order of projected distance, until the test says that no better one is likely.
 
-        ``bound`` is a cosine that is known to be reached by k others; ``stop`` the chi-square quantile.
+        ``bound`` is a cosine that is known to be reached by k; ``stop`` the chi-square quantile. Equal cosines go by id.
         """
         gap = np.maximum(np.maximum(self.lo - low, low - self.hi), 0)
         far = np.einsum("ij,ij->i", gap, gap)
@@ -116,7 +125,7 @@ class Cell:
         size, best, i, step = math.sqrt(raw @ raw), [], 0, 4
         while i < len(order):
             # the squared distance of unit vectors is 2 - 2 cos
-            limit = stop * max(0.0, 2 - 2 * bound) + 1e-9
+            limit = stop * max(0.0, 2 - 2 * bound) + CLOSE
             some = order[i : i + step]
             some = some[far[some] <= limit]
             if not len(some):
@@ -128,36 +137,44 @@ class Cell:
             if not len(rows):
                 continue
             cos = self.raw[rows] @ raw / (self.norm[rows] * size)
-            for r in np.flatnonzero(cos >= bound) if bound > -1 else np.argsort(-cos, kind="stable")[: 4 * k]:
-                best += [(float(cos[r]), v) for v in self.ids[rows[r]] if v != own]
+            # all that are as good as the k-th of these, however many
+            least = max(bound, np.partition(cos, -k)[-k] if len(cos) > k else -1.0) - CLOSE
+            for r in np.flatnonzero(cos >= least):
+                score = exact(self.raw[rows[r]], raw)
+                best += [(score, v) for v in self.ids[rows[r]]]
             best = sorted(set(best), key=lambda x: (-x[0], x[1]))[:k]
             if len(best) == k:
                 bound = max(bound, best[-1][0])
         return best
 
 
-def distinct_vectors(rows: DataFrame, vector: str, k: int) -> DataFrame:
-    """``v`` and ``ids``: each different vector with its k + 1 least ids, all that any result can show of it.
-
-    The ranks are cut off in each task before the shuffle, so a vector with very many copies is no hot group.
-    """
+def usable(rows: DataFrame, vector: str) -> DataFrame:
+    """``vec_id``, ``v`` and its hash ``h`` of the rows that have an id and a vector that isn't null, empty, zero or partly null or non-finite."""
     arr = F.col(vector)
     fine = F.when(
         arr.isNotNull() & (F.size(arr) > 0),
         F.forall(arr, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))) & F.exists(arr, lambda x: x != 0),
     )
     ok = rows.where(fine & F.col("vec_id").isNotNull()).select("vec_id", arr.cast("array<double>").alias("v"))
-    ok = ok.withColumn("h", F.xxhash64("v"))
-    few = ok.withColumn("r", F.row_number().over(Window.partitionBy("h", "v").orderBy("vec_id"))).where(F.col("r") <= k + 1)
-    return few.groupBy("h", "v").agg(F.sort_array(F.collect_set("vec_id")).alias("ids")).select("v", "ids")
+    return ok.withColumn("h", F.xxhash64("v"))
+
+
+def distinct_vectors(rows: DataFrame, vector: str, k: int) -> DataFrame:
+    """``v`` and ``ids``: each different vector with its k + 1 least ids, all that any result can show of it.
+
+    The ranks are cut off in each task before the shuffle, so a vector with very many copies is no hot group.
+    """
+    first = usable(rows, vector).withColumn("r", F.row_number().over(Window.partitionBy("h", "v").orderBy("vec_id"))).where(F.col("r") <= k + 1)
+    return first.groupBy("h", "v").agg(F.sort_array(F.collect_set("vec_id")).alias("ids")).select("v", "ids")
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, vector: str = "embedding", cell: int = CELL, dims: int = DIMS, sure: float = SURE) -> DataFrame:
+def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, vector: str = "embedding", cell: int = CELL, dims: int = DIMS, sure: float = SURE, block: int = BLOCK) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score``: the k largest cosines found for each query.
 
     ``rows`` and ``queries`` have ``vec_id`` and a vector; a query's own id is no
     result of it. Vectors that are null, empty, zero or hold a null or non-finite
-    component take no part; vectors of another width than the commonest one neither. Ties go to the smaller id.
+    component take no part, and vectors meet those of the same width only. Ties go to the smaller id. Repeated rows count once; if an id has several
+    vectors, the best of them counts. Empty tables give no rows. Other columns don't matter.
 
     Unit vectors are projected to ``dims`` stable dimensions. Cells, the upper
     part of a kd-tree fitted on a bounded sample, are dealt to tasks, where the
@@ -166,91 +183,102 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, vector: str = "embe
     stopping test does not rule out: projected squared distance over true squared
     distance is chi-square, so beyond its ``sure`` quantile times the k-th squared
     distance, a better vector is left with probability 1 - ``sure`` at most.
-    Equal vectors are one row of the index; a cell that still holds too many is dealt in parts, each with a tree of its own.
+
+    Equal vectors are one row of the index, and one query; a cell that still holds too many vectors is dealt in parts, each with a
+    tree of its own, and the queries that visit a cell in blocks of about ``block``, which meet it in tasks of their own.
     """
-    spark = rows.sparkSession
     data = stored(distinct_vectors(rows, vector, k))
-    width = data.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if width is None:
-        return empty
-    data, matrix, total = data.where(F.size("v") == width["n"]), projection(width["n"], dims), width["count"]
-    sample = data.select("v").where(F.pmod(F.xxhash64("v"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, 1.2 * SAMPLE / total)) + 1).limit(SAMPLE).toArrow()
-    points = np.array(sample["v"].to_pylist(), dtype=float).reshape(-1, width["n"])
-    cells = max(1, total // cell)
-    if len(points):
-        points = points / np.sqrt(np.einsum("ij,ij->i", points, points))[:, None]
-    splits, _ = split_tree(points @ matrix, max(1.0, len(points) / cells))
-    lo, hi = boxes(splits, dims)
-    stop = quantile(sure, dims)
+    out = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for width in [r["n"] for r in data.select(F.size("v").alias("n")).distinct().orderBy("n").collect()]:
+        out = out.union(_nearest(data.where(F.size("v") == width), width, usable(queries, vector).where(F.size("v") == width), k, cell, dims, sure, block))
+    return out
+
+
+def _nearest(data: DataFrame, width: int, queries: DataFrame, k: int, cell: int, dims: int, sure: float, block: int) -> DataFrame:
+    matrix, total, stop = projection(width, dims), data.count(), quantile(sure, dims)
 
     def project(raw: np.ndarray) -> np.ndarray:
+        # scaled first, as squares of very large or small components would leave the range of a double
+        raw = raw / np.abs(raw).max(axis=1, keepdims=True)
         return raw / np.sqrt(np.einsum("ij,ij->i", raw, raw))[:, None] @ matrix
 
-    def arrays(column, n: int) -> np.ndarray:
-        return np.asarray(column.values if isinstance(column, pa.ListArray) else column.combine_chunks().values, dtype=float).reshape(n, -1)
+    def vectors(column) -> np.ndarray:
+        return np.array(column.to_pylist(), dtype=float).reshape(-1, width)
+
+    def projected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(list(project(vectors(b.column("v")))), pa.list_(pa.float64()))], ["low"])
+
+    part = F.pmod(F.xxhash64("v"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, 1.2 * SAMPLE / total)) + 1
+    sample = data.select("v").where(part).limit(SAMPLE).mapInArrow(projected, "low array<double>").toArrow()
+    points = np.array(sample["low"].to_pylist(), dtype=float).reshape(-1, dims)
+    cells = max(1, min(total // cell, len(points) // SHAPE))
+    splits, _ = split_tree(points, max(1.0, len(points) / cells))
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                raw = np.array(b.column("v").to_pylist(), dtype=float)
-                yield pa.RecordBatch.from_arrays([pa.array(locate(project(raw), splits)), b.column("ids"), b.column("v")], ["cell", "ids", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(locate(project(vectors(b.column("v"))), splits)), b.column("ids"), b.column("v")], ["cell", "ids", "v"])
 
     placed = data.mapInArrow(put, "cell long, ids array<long>, v array<double>")
-    counts = placed.groupBy("cell").agg(F.ceil(F.count("*") / (2 * cell)).alias("parts"))
-    parts = stored(counts)
-    placed = stored(placed.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts"))).drop("parts"))
+    parts = stored(placed.groupBy("cell").agg(F.ceil(F.count("*") / (2 * cell)).alias("parts")))
+    placed = stored(placed.join(few(parts, BROADCAST_ROWS), "cell").withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts"))).drop("parts"))
 
-    asked = queries.where(F.col("vec_id").isNotNull()).select(F.col("vec_id").alias("query_id")).distinct()
-    given = distinct_vectors(queries, vector, 1 << 30).where(F.size("v") == width["n"]).select(F.explode("ids").alias("query_id"), "v")
-    given = given.join(asked, "query_id", "left_semi")
+    # a vector that many queries share is searched for once, under the least of their ids
+    asked = stored(queries.select(F.col("vec_id").alias("query_id"), "h", "v").distinct())
+    given = stored(asked.groupBy("h", "v").agg(F.min("query_id").alias("q")))
 
     def reach(batches: Iterator[pa.RecordBatch], home: bool) -> Iterator[pa.RecordBatch]:
         """The cells that a query visits."""
         for b in batches:
-            if not b.num_rows:
-                continue
-            raw = np.array(b.column("v").to_pylist(), dtype=float)
-            low = project(raw)
-            own = locate(low, splits)
-            if home:
-                row, at, bound = np.arange(len(raw)), own, np.full(len(raw), -1.0)
-            else:
-                bound = np.array(b.column("bound").to_pylist(), dtype=float)
-                gap = np.maximum(np.maximum(lo[None] - low[:, None], low[:, None] - hi[None]), 0)
-                row, at = np.nonzero((gap**2).sum(axis=2) <= stop * np.maximum(0, 2 - 2 * bound[:, None]) + 1e-9)
-                other = at != own[row]
-                row, at = row[other], at[other]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(at), b.column("query_id").take(pa.array(row)), b.column("v").take(pa.array(row)), pa.array(bound[row])], ["cell", "query_id", "v", "bound"])
+            for at in range(0, b.num_rows, 1024):
+                some = b.slice(at, 1024)
+                low = project(vectors(some.column("v")))
+                own = locate(low, splits)
+                if home:
+                    row, to, bound = np.arange(len(low)), own, np.full(len(low), -1.0)
+                else:
+                    bound = np.array(some.column("bound").to_pylist(), dtype=float)
+                    row, to = within(low, splits, stop * np.maximum(0, 2 - 2 * bound) + CLOSE)
+                    row, to = row[to != own[row]], to[to != own[row]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(to), some.column("q").take(pa.array(row)), some.column("v").take(pa.array(row)), pa.array(bound[row])], ["cell", "q", "v", "bound"])
+
+    def search(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[tuple[int, int, float]] = []
+        if left.num_rows and right.num_rows:
+            raw = vectors(left["v"])
+            tree = Cell(left["ids"].to_pylist(), raw, project(raw))
+            q = vectors(right["v"])
+            for x, low, own, bound in zip(q, project(q), right["q"].to_pylist(), right["bound"].to_pylist(), strict=True):
+                out += [(own, v, c) for c, v in tree.search(x, low, k + 1, bound, stop)]
+        return pa.table({"q": pa.array([o[0] for o in out], pa.int64()), "vec_id": pa.array([o[1] for o in out], pa.int64()), "score": pa.array([o[2] for o in out], pa.float64())})
 
     def visit(visits: DataFrame) -> DataFrame:
         """Queries, in blocks, meet the cells that they visit."""
-        visits = visits.join(F.broadcast(parts), "cell").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
-
-        def search(key, left: pa.Table, right: pa.Table) -> pa.Table:
-            out: list[tuple[int, int, float]] = []
-            if left.num_rows and right.num_rows:
-                raw = arrays(left["v"], left.num_rows)
-                tree = Cell(left["ids"].to_pylist(), raw, project(raw))
-                for lo_ in range(0, right.num_rows, BLOCK):
-                    some = right.slice(lo_, BLOCK)
-                    q = np.array(some["v"].to_pylist(), dtype=float)
-                    for x, low, own, bound in zip(q, project(q), some["query_id"].to_pylist(), some["bound"].to_pylist(), strict=True):
-                        out += [(own, v, c) for c, v in tree.search(x, low, own, k, bound, stop)]
-            return pa.table({"query_id": pa.array([o[0] for o in out], pa.int64()), "vec_id": pa.array([o[1] for o in out], pa.int64()), "score": pa.array([o[2] for o in out], pa.float64())})
-
-        return placed.groupBy("cell", "part").cogroup(visits.groupBy("cell", "part")).applyInArrow(search, "query_id long, vec_id long, score double")
-
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    given = stored(given)
-    visits = lambda home: lambda b: reach(b, home)
-    schema = "cell long, query_id long, v array<double>, bound double"
-    first = stored(visit(given.mapInArrow(visits(True), schema)).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k))
-    known = first.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).otherwise(-1.0).alias("bound"))
-    again = given.join(known, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(-1.0)))
-    found = first.drop("rank").union(visit(again.mapInArrow(visits(False), schema)))
-    out = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        visits = stored(visits)
+        blocks = visits.groupBy("cell").agg(F.ceil(F.count("*") / block).alias("blocks")).join(parts, "cell")
+        sized = few(stored(blocks), BROADCAST_ROWS)
+        each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        left = placed.join(sized.drop("parts"), "cell").withColumn("block", each("blocks")).drop("blocks")
+        right = visits.join(sized, "cell").withColumn("part", each("parts")).withColumn("block", F.pmod(F.xxhash64("q"), F.col("blocks"))).drop("parts", "blocks")
+        key = ["cell", "part", "block"]
+        return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(search, "q long, vec_id long, score double")
+
+    schema = "cell long, q long, v array<double>, bound double"
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    first = visit(given.mapInArrow(lambda b: reach(b, True), schema)).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r")
+    first = stored(first)
+    known = first.groupBy("q").agg(F.when(F.count("*") > k, F.min("score")).otherwise(-1.0).alias("bound"))
+    again = given.join(known, "q", "left").withColumn("bound", F.coalesce("bound", F.lit(-1.0)))
+    found = first.union(visit(again.mapInArrow(lambda b: reach(b, False), schema)))
+    found = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r")
+    # k + 1 for each vector are k and the query's own
+    named = asked.select("query_id", "h", "v").join(given, ["h", "v"]).select("query_id", "q").join(found, "q").where("query_id <> vec_id")
+    named = named.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    out = named.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
     return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

@@ -73,5 +73,37 @@ def test_empty_and_few(spark):
     assert [(r.vec_id, round(r.score, 9)) for r in N.nearest(df, df.where("vec_id = 0")).orderBy("rank").collect()] == [(1, 0.707106781), (2, 0.707106781)]
 
 
+def test_equal_cosines_go_by_id(spark):
+    base = np.array([0.3, -1.7, 2.9, 0.1])
+    df = spark.createDataFrame([(i, (base * (1 + i / 7)).tolist()) for i in range(1, 61)], "vec_id long, embedding array<double>")
+    got = as_lists(N.nearest(df.repartition(3), df.where("vec_id = 50")))
+    assert got == {50: [(i, 1.0) for i in range(1, 6)]}
+
+
+def test_a_query_vector_of_many_rows(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(400)] + [(i, [1.0] * 8) for i in range(1000, 4000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = as_lists(N.nearest(df, df.where("vec_id % 2 = 0"), cell=100, block=50))
+    assert len(got) == 200 + 1500
+    for q in range(1000, 4000, 2):
+        assert [v for v, _ in got[q]] == [v for v in range(1000, 1006) if v != q][:5]
+    want = brute(rows, list(range(0, 400, 2)), 5)
+    assert recall({q: got[q] for q in want}, want) >= 0.9
+
+
+def test_boxes_within_reach():
+    rng = np.random.default_rng(9)
+    points = rng.normal(size=(500, 4))
+    splits, leaves = N.split_tree(points, 20)
+    home, limit = N.locate(points, splits), np.full(40, 0.5)
+    row, at = N.within(points[:40], splits, limit)
+    seen = set(zip(row.tolist(), at.tolist(), strict=True))
+    assert len(seen) == len(row)
+    for i in range(40):
+        near = ((points - points[i]) ** 2).sum(axis=1) <= 0.5
+        assert {(i, int(c)) for c in home[near]} <= seen
+
+
 def test_chi_square():
     assert abs(float(N.chi_square(np.array(18.307), 10)) - 0.95) < 1e-4 and abs(N.quantile(0.95, 10) - 18.307) < 1e-3

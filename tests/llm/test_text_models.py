@@ -88,6 +88,27 @@ def test_machine_learns_interactions():
     assert m.score("insult group w1 w2") > 0.5 > low
 
 
+def test_machine_learns_what_only_pairs_tell():
+    rng = np.random.default_rng(2)
+    bags, labels = [], []
+    for _ in range(3000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        noise = [f"w{x}" for x in rng.integers(0, 40, 6)]
+        bags.append(np.array(sorted({T.term(x) for x in noise + ["insult"] * a + ["group"] * b}), dtype=np.int64))
+        labels.append(a != b)
+    m = T.fit(bags, np.array(labels, dtype=float), epochs=40)
+    one = min(m.score("insult w1 w2"), m.score("group w1 w2"))
+    assert one > 0.6 > 0.4 > max(m.score("insult group w1 w2"), m.score("w1 w2"))
+
+
+def test_training_does_not_depend_on_the_order(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    docs = docs.union(docs.limit(40).withColumn("text", F.lit("the same words")))
+    a, b = T.train(docs, labels), T.train(docs.repartition(7, "source").orderBy(F.desc("text")), labels.repartition(5))
+    assert a.row == b.row and a.w0 == b.w0 and np.array_equal(a.w, b.w) and np.array_equal(a.v, b.v)
+
+
 @pytest.mark.parametrize("labels", [[], [0.0, 0.0], [1.0, 1.0]])
 def test_machine_without_contrast(labels):
     m = T.fit([np.array([T.term("x")], dtype=np.int64) for _ in labels], np.array(labels))
