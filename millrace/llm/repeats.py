@@ -1,4 +1,4 @@
-"""Suffix-array dedup: bytes of passages that occur more than once, by depth-limited radix passes."""
+"""Suffix-array dedup: bytes of passages that occur more than once, by passes over suffixes at chosen places."""
 
 from __future__ import annotations
 
@@ -15,8 +15,8 @@ from millrace.llm.keyed import key_groups
 
 #: Window starts worked on at a time, so that a very long text takes little memory.
 CHUNK = 1 << 18
-#: Anchors of one gram, and contexts of one gram, that a task holds; more are worked on by shuffled aggregates.
-LARGE, CONTEXTS = 500_000, 100_000
+#: Classes of one gram, and contexts of one gram, that a task holds; more are worked on by shuffled aggregates.
+LARGE, CONTEXTS = 200_000, 100_000
 #: Hashes of windows that a task holds at a time (13 MB).
 HELD = 1 << 21
 
@@ -119,51 +119,34 @@ def _often(*keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def _first(*keys: np.ndarray) -> np.ndarray:
-    """Whether a row is the first of its keys."""
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), dtype=bool)
-    for k in keys:
-        s = k[order]
-        new[1:] |= s[1:] != s[:-1]
-    new[:1] = True
-    out = np.zeros(len(order), dtype=bool)
-    out[order[new]] = True
-    return out
-
-
-#: What a row of the first pass says: its span is repeated whole; its context is to be compared, and its
-#: span asked for; its context is to be compared only; its gram is too frequent for one task.
+#: What the first pass says of a class of equal contexts: all that it spans is repeated; it is to be compared, and its
+#: span asked for; it is to be compared only; its gram has too many classes for one task.
 WHOLE, ASK, PARTNER, CROWDED = 0, 1, 2, 3
 
 
 def _ends(room: int, large: int):
-    """The first pass: groups of equal grams are refined by the longest left and right parts."""
+    """The first pass: classes of equal grams are refined by the longest left and right parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for crowded, (g, dk, p, kl, kr) in key_groups(batches, "g", ["g", "dk", "p", "kl", "kr"], large):
+        for crowded, (g, dk, p, kl, kr, n) in key_groups(batches, "g", ["g", "dk", "p", "kl", "kr", "n"], large):
             if crowded:
                 state = np.full(len(g), CROWDED)
             else:
-                keep = np.repeat((n := np.diff(np.flatnonzero(np.r_[True, g[1:] != g[:-1], True]))) > 1, n)
-                g, dk, p, kl, kr = (x[keep] for x in (g, dk, p, kl, kr))
+                starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+                group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(g)]))
+                keep = np.bincount(group, weights=n)[group] > 1
+                g, dk, p, kl, kr, n, group = (x[keep] for x in (g, dk, p, kl, kr, n, group))
                 if not len(g):
                     continue
                 _, left, right = _parts(p)
-                size = (left << 12) | right
-                whole = _often(g, kl, kr, size)
                 full = _often(g, kl, left == room) & (left == room) & _often(g, kr, right == room) & (right == room)
-                ask = ~(whole | full)
-                starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
-                group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(g)]))
-                open_ = np.bincount(group, weights=ask)[group] > 0
-                partner = open_ & ~ask & _first(g, kl, kr, size)
+                ask = ~((n > 1) | full)
                 state = np.where(ask, ASK, WHOLE)
-                g, dk, p, kl, kr, state = (
-                    np.concatenate((x, x[partner])) if x is not state else np.concatenate((x, np.full(int(partner.sum()), PARTNER)))
-                    for x in (g, dk, p, kl, kr, state)
-                )
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (g, dk, p, kl, kr, state.astype(np.int32))], ["g", "dk", "p", "kl", "kr", "state"])
+                # where some class of the gram is asked for, it is compared with all the others too
+                partner = (np.bincount(group, weights=ask)[group] > 0) & ~ask
+                g, dk, p, kl, kr, n = (np.concatenate((x, x[partner])) for x in (g, dk, p, kl, kr, n))
+                state = np.concatenate((state, np.full(int(partner.sum()), PARTNER)))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (g, dk, p, kl, kr, n, state.astype(np.int32))], ["g", "dk", "p", "kl", "kr", "n", "state"])
 
     return run
 
@@ -295,29 +278,30 @@ def repeated_spans(docs: DataFrame, depth: int = 400, gram: int | None = None, l
     of passages, each single window. Groups that remain are the repeated windows. Digits are compared as
     64-bit hashes within groups of equal grams.
 
-    A gram's group of over ``large`` anchors, or ``contexts`` edges, isn't held by
-    one task: its windows are counted by a shuffled aggregate.
+    Anchors of equal gram, parts and lengths are one class, which is counted before the shuffle, so many copies of a
+    passage are a few classes. A gram of over ``large`` classes, or ``contexts`` edges, isn't held by
+    one task: its windows are counted by a shuffled aggregate. ``depth - gram`` is at most 4,095.
     """
     gram = depth // 2 if gram is None else gram
     room = depth - gram
+    if not 0 < gram < depth or room > 4095:
+        raise ValueError("depth must exceed gram, and by at most 4,095")
     docs = docs.select("doc_id", "text")
     long_ = docs.where(F.octet_length("text") >= depth).select(_text_key().alias("dk"), "text")
-    rows = long_.mapInArrow(_anchor_rows(depth, gram), "dk long, p long, g long, kl long, kr long")
-    ends = stored(
-        rows.repartition("g").sortWithinPartitions("g").mapInArrow(_ends(room, large), "g long, dk long, p long, kl long, kr long, state int")
-    )
+    digits = ["g", "kl", "kr", "size"]
+    rows = stored(long_.mapInArrow(_anchor_rows(depth, gram), "dk long, p long, g long, kl long, kr long").withColumn("size", F.col("p").bitwiseAND(F.lit((1 << 24) - 1))))
+    same = rows.groupBy(*digits).agg(F.count("*").alias("n"), F.first("dk").alias("dk"), F.first("p").alias("p"))
+    ends = same.select("g", "dk", "p", "kl", "kr", "n").repartition("g").sortWithinPartitions("g")
+    ends = stored(ends.mapInArrow(_ends(room, large), "g long, dk long, p long, kl long, kr long, n long, state int"))
     left, right = F.shiftright("p", 12).bitwiseAND(F.lit(4095)), F.col("p").bitwiseAND(F.lit(4095))
     span = [F.col("dk"), (F.shiftright("p", 24) - left).alias("a"), (F.shiftright("p", 24) + gram + right).alias("b")]
-    out = ends.where(F.col("state") == WHOLE).select(*span)
-    crowded = ends.where(F.col("state") == CROWDED)
+    out = ends.where((F.col("state") == WHOLE) & (F.col("n") == 1)).select(*span)
+    many = ends.where((F.col("state").isin(WHOLE, CROWDED)) & (F.col("n") > 1)).withColumn("size", F.col("p").bitwiseAND(F.lit((1 << 24) - 1)))
+    out = out.union(rows.join(many.select(*digits), digits, "left_semi").select(*span))
     asked = ends.where(F.col("state").isin(ASK, PARTNER)).select("g", "dk", "p", "state")
+    crowded = ends.where(F.col("state") == CROWDED).select("g", "dk", "p", F.lit(ASK).alias("state"))
     if crowded.limit(1).count():
-        digits = ["g", "kl", "kr", (F.col("p") % (1 << 24)).alias("size")]
-        named = crowded.select(*digits, "dk", "p")
-        counts = named.groupBy("g", "kl", "kr", "size").agg(F.count("*").alias("n"), F.min(F.struct("dk", "p")).alias("one"))
-        out = out.union(named.join(counts.where("n > 1"), ["g", "kl", "kr", "size"]).select(*span))
-        one = stored(counts.select("g", "one.dk", "one.p", F.lit(ASK).alias("state")))
-        out = out.union(_by_windows(_contexts(docs, one, depth, gram), depth, gram))
+        out = out.union(_by_windows(_contexts(docs, crowded, depth, gram), depth, gram))
     ctx = _contexts(docs, asked, depth, gram).repartition("g").sortWithinPartitions("g")
     found = stored(ctx.mapInArrow(_edges(depth, gram, contexts), "dk long, a long, b long, g long"))
     out = out.union(found.where("g IS NULL").select("dk", "a", "b"))

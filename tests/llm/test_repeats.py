@@ -50,7 +50,9 @@ def test_large_groups_by_some_places_at_a_time(spark, monkeypatch):
     raw = [(i, int(i), x.encode()) for i, x in enumerate(t) if x]
     docs = spark.createDataFrame([(i, x.decode()) for i, _, x in raw], "doc_id long, text string")
     rows = docs.selectExpr("doc_id AS dk", "text").mapInArrow(repeats._anchor_rows(24, 12), "dk long, p long, g long, kl long, kr long")
-    ends = rows.repartition(1).sortWithinPartitions("g").mapInArrow(repeats._ends(12, 1000), "g long, dk long, p long, kl long, kr long, state int").where("state > 0")
+    rows = rows.groupBy("g", "kl", "kr", repeats.F.expr("p & 16777215").alias("size")).agg(repeats.F.count("*").alias("n"), repeats.F.first("dk").alias("dk"), repeats.F.first("p").alias("p"))
+    schema = "g long, dk long, p long, kl long, kr long, n long, state int"
+    ends = rows.select("g", "dk", "p", "kl", "kr", "n").repartition(1).sortWithinPartitions("g").mapInArrow(repeats._ends(12, 1000), schema).where("state > 0")
     asked = ends.groupBy("dk").agg(repeats.F.collect_list(repeats.F.struct("g", "p", "state")).alias("asked"))
     ctx = docs.join(asked, docs.doc_id == asked.dk).select("dk", "text", "asked").mapInArrow(repeats._context_rows(24, 12), "g long, dk long, p long, state int, ctx binary")
     batches = ctx.orderBy("g").toArrow().to_batches()
@@ -68,6 +70,13 @@ def test_long_text_in_chunks(monkeypatch):
     assert all((a == b).all() for a, b in zip(whole, repeats.anchors(text, 40, 20), strict=True))
 
 
+def test_depth_is_checked(spark):
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    for depth, gram in ((9000, 4000), (40, 40), (40, 0)):
+        with pytest.raises(ValueError, match="depth"):
+            repeats.repeated_spans(docs, depth, gram)
+
+
 def test_null_ids_and_empty(spark):
     schema = "doc_id long, text string"
     rows = [(None, "q" * 50 + "w"), (None, "z" + "q" * 50), (1, None)]
