@@ -21,7 +21,8 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, budget
     source's size and what is left over is shared anew by weight among the rest,
     until none is above. With cap/weight sorted, the sources that stop are a
     prefix: the water level rises past them one by one, which a running sum finds.
-    The table has a row for each source.
+    The table has a row for each source and is sorted in one task: good for some millions of sources
+    (a few dozen bytes each, spilled beyond memory); names finer than that should be put together first.
     """
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(F.col("_i") - 1, F.lit(len(weights))) + 1).cast("int"))
     rows = sizes.withColumn("_i", F.row_number().over(Window.orderBy(F.col("source").isNull(), "source"))).withColumn("_w", w)

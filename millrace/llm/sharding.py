@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import numbered, unit, utf8_bytes
+from millrace.llm.common import numbered, stored, unit, utf8_bytes
 
 
 def _numbered(rows: DataFrame, group: list[str], spot: Column, order: list[str], cells: int) -> DataFrame:
@@ -29,6 +29,22 @@ def _numbered(rows: DataFrame, group: list[str], spot: Column, order: list[str],
     return joined.withColumn("_n", F.row_number().over(w) + F.col("_before")).drop("_before", "_cell")
 
 
+def _ranged(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Adds ``_n``, 1, 2, … by ``order`` over all rows, and ``_total``.
+
+    Spark cuts the rows into ranges of about equal size by a sample of all of ``order``, so many
+    rows of the same first value (as where most sources have a row) are cut as well. The
+    cut is written down, as another run might cut elsewhere.
+    """
+    rows = stored(rows.repartitionByRange(*order).withColumn("_cell", F.spark_partition_id()))
+    sizes = rows.groupBy("_cell").agg(F.count("*").alias("_k"))
+    # one row for each range: its size follows the number of partitions, not the rows
+    before = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_cell", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_before"), F.sum("_k").over(Window.partitionBy()).alias("_total"))
+    w = Window.partitionBy("_cell").orderBy(*order)
+    return rows.join(F.broadcast(sizes), "_cell").withColumn("_n", F.row_number().over(w) + F.col("_before")).drop("_before", "_cell")
+
+
 def shard(
     docs: DataFrame, shards: int = 40, seed: str = "shards", source: str = "source", keep: list[str] | None = None, cells: int = 1024
 ) -> DataFrame:
@@ -41,7 +57,8 @@ def shard(
     Returns ``doc_id``, the columns in ``keep``, ``shard`` and ``slot`` (from 0,
     without gaps). A null source is a source of its own. Rows alike in id and text
     are interchangeable; equal ids with unlike texts are told apart by the text's
-    hash. An empty table gives an empty table. Names in ``docs`` other than
+    hash. Copies of a text are dealt like any other rows, so a group of equal texts spreads over
+    the shards and none of them grows with it. An empty table gives an empty table. Names in ``docs`` other than
     ``doc_id``, ``text`` and the source don't matter; ``cells`` bounds what one
     task sorts: raise it with the rows (1024 cells hold 10^9 rows of a source well).
     """
@@ -54,8 +71,8 @@ def shard(
     )
     rows = rows.withColumn("_u", unit(seed, F.col("_id"), F.col("_t")))
     rows = _numbered(rows, ["_s"], F.col("_u"), ["_u", "_id", "_t"], cells)
-    rows = rows.withColumn("_f", (F.col("_n") - 0.5) / F.col("_total")).drop("_n", "_total").withColumn("_all", F.lit(1))
-    rows = _numbered(rows, ["_all"], F.col("_f"), ["_f", "_u", "_id", "_t", "_s"], cells * 4)
+    rows = rows.withColumn("_f", (F.col("_n") - 0.5) / F.col("_total")).drop("_n", "_total")
+    rows = _ranged(rows, ["_f", "_u", "_id", "_t", "_s"])
     place, total = F.col("_n") - 1, F.col("_total")
     rows = rows.withColumn("shard", F.floor(place * shards / total).cast("int"))
     first = F.ceil(F.col("shard") * total / F.lit(shards))

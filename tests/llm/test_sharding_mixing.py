@@ -5,8 +5,10 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm.mixing import mix, targets
-from millrace.llm.sharding import shard
+from millrace.llm import simhash
+from millrace.llm.common import stored
+from millrace.llm.mixing import mix, take, targets
+from millrace.llm.sharding import deal, shard
 
 SCHEMA = "doc_id long, text string, source string, size string"
 
@@ -35,6 +37,48 @@ def test_shards_are_even_and_mixed(spark):
     assert {x for x in again if x[0] not in (3,)} == {(r.doc_id, r.shard, r.slot) for r in out if r.doc_id not in (3,)}
 
 
+def test_sources_of_one_row(spark):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "cast(id AS string) AS text", "concat('host', id) AS source").union(
+        spark.range(500).selectExpr("id + 9000", "'x'", "'big'"))
+    rows = shard(docs, 9, keep=["source"]).collect()
+    assert sorted((r.shard, r.slot) for r in rows) == [(s, i) for s in range(9) for i in range((3500 * (s + 1) + 8) // 9 - (3500 * s + 8) // 9)]
+
+
+NAMES = ["shard", "slot", "_row", "_file", "_copy", "own", "_shard", "kept", "_metadata", "taken", "size"]
+
+
+def clashing(spark, tmp_path):
+    base = spark.createDataFrame([(i, f"some words {i % 50}", "ab"[i % 2]) for i in range(60)], "doc_id long, text string, source string")
+    base = base.select("*", *[F.lit(n).alias(n) for n in NAMES])
+    base.write.parquet(f"{tmp_path}/docs")
+    return spark.read.parquet(f"{tmp_path}/docs")
+
+
+def test_any_column_names(spark, tmp_path):
+    docs = clashing(spark, tmp_path)
+    out = deal(docs, 7)
+    assert out.columns == [*[c for c in docs.columns if c not in ("shard", "slot")], "shard", "slot"] and out.count() == 60
+    assert sorted(Counter(r.shard for r in out.collect()).values()) == [8] * 3 + [9] * 4
+    taken = take(docs)
+    assert taken.columns == docs.columns and taken.count() > 0
+    assert simhash.drop_near(docs).columns == docs.columns
+
+
+def test_rows_made_of_file_rows(spark, tmp_path):
+    docs = clashing(spark, tmp_path)
+    for many in (docs.withColumn("e", F.explode(F.sequence(F.lit(1), F.lit(2)))), docs.join(docs.select("source").distinct(), "source"), docs.union(docs), docs.limit(40), docs.orderBy("text")):
+        n = many.count()
+        assert deal(many, 5).count() == n
+        assert simhash.drop_near(many).count() == many.select("doc_id", "text").distinct().select("text").distinct().count() == simhash.drop_near(stored(many)).count()
+
+
+def test_a_hundred_thousand_sources(spark):
+    docs = spark.range(100_000).selectExpr("id AS doc_id", "'two words' AS text", "concat('s', id) AS source")
+    out = mix(docs)
+    assert out.count() == 100_000 and out.where("taken > 3 * size").count() == 0
+    assert shard(docs, 40).groupBy("shard").count().where("count <> 2500").count() == 0
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert shard(empty, 7).count() == 0
