@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import re
+import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -109,12 +112,22 @@ def unit(seed: str, *columns: Column) -> Column:
     return (F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
 
 
-def importable(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver did, whatever folder they start in.
+@functools.cache
+def _package() -> str:
+    """This package as an archive in a temporary folder of the driver, which serves it to the executors."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="millrace-"), "millrace.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    out.write(full, os.path.relpath(full, os.path.dirname(root)))
+    return path
 
-    On a cluster the package is installed or sent with the job, and this changes nothing.
-    """
-    root, env = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), spark.sparkContext.environment
-    paths = [x for x in env.get("PYTHONPATH", "").split(os.pathsep) if x]
-    if root not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+def importable(spark: SparkSession) -> None:
+    """Sends this package to the executors once a session, so that Python workers can import it."""
+    if getattr(spark, "_millrace_sent", None) != spark.sparkContext.applicationId:
+        spark.sparkContext.addPyFile(_package())
+        spark._millrace_sent = spark.sparkContext.applicationId
