@@ -7,14 +7,18 @@ Counts are cast to BIGINT and sums of money rounded, on both sides alike.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.functions import cosine, money, revenue
+from millrace.functions import cosine, money, page_text, page_text_sql, revenue
+from millrace.functions.custom import digit_sum, spread, words
 from millrace.operators.selection import exclude, include
 from millrace.operators.skew import salted_distinct_count, top_k_per_group
-from millrace.operators.temporal import asof_join, interval_join, session_ids
+from millrace.operators.temporal import asof_join, band_join, interval_join, pairs_in_order, session_ids
 from millrace.sources.tables import run_sql, table
+from millrace.streaming import event_stream, to_files, tumbling
 
 
 def pricing_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -106,7 +110,72 @@ def turn_gaps(spark: SparkSession, d: str) -> DataFrame:
     return c.groupBy("conv_id").agg(F.count("*").alias("turns"), F.coalesce(F.sum("same"), F.lit(0)).cast("long").alias("repeats"))
 
 
+def theta(spark: SparkSession, d: str) -> DataFrame:
+    return pairs_in_order(table(spark, d, "supplier"), "s_acctbal", 100.0)
+
+
+def band(spark: SparkSession, d: str) -> DataFrame:
+    c, s = table(spark, d, "customer").select("c_custkey", "c_acctbal"), table(spark, d, "supplier").select("s_suppkey", "s_acctbal")
+    return band_join(c, s, "c_acctbal", "s_acctbal", 5.0, 2.5).groupBy("s_suppkey").agg(F.count("*").alias("n"))
+
+
+def asof_spans(spark: SparkSession, d: str) -> DataFrame:
+    """The same as ``asof``, with each user's events cut by the day."""
+    e = table(spark, d, "events")
+    clicks = e.where("event_type = 'click'").select("user_id", F.col("ts").alias("click_ts"), F.col("event_id").alias("click_id"))
+    return asof_join(e.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), clicks, ["user_id"], "ts", "click_ts", ["click_ts", "click_id"], span_s=86_400)
+
+
+def pages(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", page_text("html").alias("text"))
+
+
+def json_fields(spark: SparkSession, d: str) -> DataFrame:
+    k = F.from_json("props", "k long")["k"]
+    return table(spark, d, "events").groupBy("event_type").agg(F.sum(k).alias("k_sum"), F.count(k).alias("k_count"))
+
+
+def map_counts(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    m = n.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("m"))
+    few = F.map_filter("m", lambda k, v: v >= 10)
+    return m.select("user_id", F.coalesce(F.try_element_at("m", F.lit("click")), F.lit(0)).alias("clicks"), F.size(F.map_keys(few)).cast("long").alias("often"),
+                    F.aggregate(F.map_values("m"), F.lit(0).cast("long"), lambda s, v: s + v).alias("n"))
+
+
+def own_function(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", digit_sum()(F.col("p_partkey")).alias("digits"))
+
+
+def own_aggregate(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").groupBy("p_brand").agg(F.round(spread()("p_retailprice"), 4).alias("spread"))
+
+
+def own_table_function(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").lateralJoin(words()(F.col("p_name").outer())).groupBy("word").agg(F.count("*").alias("n"), F.max("place").cast("long").alias("last"))
+
+
+def streamed_days(spark: SparkSession, d: str) -> DataFrame:
+    """Days of events by a stream; those whose end the watermark hasn't passed are still open and not there.
+
+    The path is a pattern, as a stream takes a single file only so.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/millrace-streams"
+    at = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    return to_files(tumbling(event_stream(spark, f"{d}/event[s].parquet"), "1 day", "10 minutes"), f"{at}/out", f"{at}/checkpoint")
+
+
 PLANS = {
+    "theta_join": theta,
+    "band_join": band,
+    "asof_spans": asof_spans,
+    "page_text": pages,
+    "json_fields": json_fields,
+    "map_counts": map_counts,
+    "own_function": own_function,
+    "own_aggregate": own_aggregate,
+    "own_table_function": own_table_function,
+    "streamed_days": streamed_days,
     "agg_q1": pricing_summary,
     "tumble": tumble,
     "sliding": sliding,
@@ -124,7 +193,28 @@ PLANS = {
     "turn_gaps": turn_gaps,
 }
 
+ASOF_SQL = """WITH c AS (SELECT user_id, ts AS click_ts, max(event_id) AS click_id FROM events WHERE event_type = 'click' GROUP BY ALL)
+        SELECT b.event_id, b.user_id, b.ts, c.click_ts, c.click_id
+        FROM (SELECT * FROM events WHERE event_type = 'purchase') b ASOF LEFT JOIN c ON b.user_id = c.user_id AND b.ts >= c.click_ts"""
+
 ORACLE = {
+    "theta_join": "SELECT count(*) AS n FROM supplier a JOIN supplier b ON a.s_acctbal < b.s_acctbal",
+    "band_join": """SELECT s_suppkey, count(*) AS n FROM customer JOIN supplier ON s_acctbal >= c_acctbal - 5.0::DOUBLE AND s_acctbal <= c_acctbal + 2.5::DOUBLE
+        GROUP BY s_suppkey""",
+    "asof_spans": ASOF_SQL,
+    "page_text": f"SELECT page_id, {page_text_sql('html')} AS text FROM pages",
+    "json_fields": """SELECT event_type, CAST(sum(k) AS BIGINT) AS k_sum, count(k) AS k_count FROM (SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k
+        FROM events) GROUP BY event_type""",
+    "map_counts": """SELECT user_id, CAST(coalesce(sum(n) FILTER (WHERE event_type = 'click'), 0) AS BIGINT) AS clicks, count(*) FILTER (WHERE n >= 10) AS often,
+        CAST(sum(n) AS BIGINT) AS n FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP BY user_id""",
+    "own_function": """SELECT p_partkey, CAST(list_sum(list_transform(string_split(CAST(p_partkey AS VARCHAR), ''), lambda c: CAST(c AS BIGINT))) AS BIGINT) AS digits
+        FROM part""",
+    "own_aggregate": "SELECT p_brand, round(max(p_retailprice) - min(p_retailprice), 4) AS spread FROM part GROUP BY p_brand",
+    "own_table_function": """SELECT word, count(*) AS n, CAST(max(place) AS BIGINT) AS last FROM (SELECT unnest(string_split(p_name, ' ')) AS word,
+        unnest(range(1, len(string_split(p_name, ' ')) + 1)) AS place FROM part) GROUP BY word""",
+    "streamed_days": """SELECT start, start + INTERVAL 1 DAY AS "end", event_type, count(*) AS n, round(sum(value), 4) AS total
+        FROM (SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, value FROM events) GROUP BY start, event_type
+        HAVING start + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""",
     "agg_q1": """SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base_price,
         round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price, round(avg(l_quantity), 6) AS avg_qty, count(*) AS count_order
         FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL""",
@@ -134,9 +224,7 @@ ORACLE = {
     "sessionize": """SELECT user_id, CAST(session AS BIGINT) AS session, min(ts) AS start, max(ts) AS last, count(*) AS n FROM (
         SELECT *, sum(CASE WHEN p IS NULL OR ts > p + INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session
         FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)) GROUP BY ALL""",
-    "asof_join": """WITH c AS (SELECT user_id, ts AS click_ts, max(event_id) AS click_id FROM events WHERE event_type = 'click' GROUP BY ALL)
-        SELECT b.event_id, b.user_id, b.ts, c.click_ts, c.click_id
-        FROM (SELECT * FROM events WHERE event_type = 'purchase') b ASOF LEFT JOIN c ON b.user_id = c.user_id AND b.ts >= c.click_ts""",
+    "asof_join": ASOF_SQL,
     "interval_join": """SELECT s.event_id AS span_id, count(*) AS n FROM events s JOIN events e ON e.ts >= s.ts AND e.ts < s.ts + INTERVAL 10 MINUTE
         WHERE s.event_type = 'signup' AND e.event_type = 'error' GROUP BY ALL""",
     "salted_distinct": "SELECT event_type, count(DISTINCT user_id) AS n FROM events GROUP BY ALL",
@@ -161,9 +249,6 @@ SQL = {
     "full_join": "SELECT r_name, n_name FROM {region} FULL JOIN {nation} ON r_regionkey = n_regionkey",
     "semi_join": "SELECT o_orderkey FROM {orders} WHERE EXISTS (SELECT 1 FROM {lineitem} WHERE l_orderkey = o_orderkey AND l_quantity > 49)",
     "anti_join": "SELECT o_orderkey FROM {orders} WHERE NOT EXISTS (SELECT 1 FROM {lineitem} WHERE l_orderkey = o_orderkey)",
-    # pairs in order are counted from running sums over distinct values, so that no pair is made
-    "theta_join": """SELECT CAST(sum(k * before) AS BIGINT) AS n FROM (SELECT k, coalesce(sum(k) OVER (ORDER BY s_acctbal ROWS BETWEEN
-        UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT s_acctbal, count(*) AS k FROM {supplier} GROUP BY s_acctbal) g) t""",
     "rollup": "SELECT l_returnflag, l_linestatus, count(*) AS n FROM {lineitem} GROUP BY ROLLUP (l_returnflag, l_linestatus)",
     "cube": "SELECT l_returnflag, l_linestatus, count(*) AS n FROM {lineitem} GROUP BY CUBE (l_returnflag, l_linestatus)",
     "grouping_sets": "SELECT l_returnflag, l_linestatus, count(*) AS n FROM {lineitem} GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())",
@@ -196,6 +281,19 @@ SQL = {
     "exact_copies": "SELECT md5(text) AS h, count(*) AS n FROM {documents} GROUP BY 1 HAVING count(*) > 1",
     "label_rates": """SELECT source, count(*) AS n, CAST(sum(quality) AS BIGINT) AS good, CAST(sum(toxic) AS BIGINT) AS toxic
         FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id GROUP BY source""",
+    "label_precision": """SELECT source, count(*) AS labelled, round(avg(CAST(quality AS DOUBLE)), 9) AS good_share, round(avg(CAST(toxic AS DOUBLE)), 9) AS toxic_share,
+        round(avg(CASE WHEN toxic = 0 THEN CAST(quality AS DOUBLE) END), 9) AS good_of_clean FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id GROUP BY source""",
+    "intersect_all": "SELECT c_nationkey AS k FROM {customer} INTERSECT ALL SELECT s_nationkey AS k FROM {supplier}",
+    "except_all": "SELECT c_nationkey AS k FROM {customer} EXCEPT ALL SELECT s_nationkey AS k FROM {supplier}",
+    "strings_more": """SELECT p_partkey, lpad(CAST(p_size AS VARCHAR(9)), 4, '0') AS a, concat_ws('-', p_brand, p_type) AS b, split_part(p_name, ' ', 1) AS c,
+        CAST(instr(p_name, 'e') AS BIGINT) AS e, reverse(p_brand) AS f, left(p_name, 2) AS g, right(p_name, 2) AS h, repeat('ab', 2) AS i, translate(p_type, 'AE', 'ae') AS j,
+        CAST(ascii(p_name) AS BIGINT) AS k, contains(p_name, 'a') AS l FROM {part}""",
+    "dates_more": """SELECT o_orderkey, CAST(quarter(o_orderdate) AS BIGINT) AS q, CAST(day(o_orderdate) AS BIGINT) AS d, last_day(o_orderdate) AS month_end,
+        CAST(CAST(o_orderdate AS DATE) + INTERVAL '1' MONTH AS DATE) AS next_month, CAST(dayofyear(o_orderdate) AS BIGINT) AS y, CAST(hour(o_orderdate) AS BIGINT) AS h,
+        CAST(extract(WEEK FROM o_orderdate) AS BIGINT) AS w FROM {orders}""",
+    "maths_more": """SELECT p_partkey, round(ln(p_retailprice), 9) AS a, round(exp(p_size / 50.0), 9) AS b, round(power(p_size, 2), 6) AS c, greatest(p_size, 25) AS d,
+        least(p_size, 25) AS e, CAST(sign(p_size - 25) AS BIGINT) AS f, CAST(ceil(p_retailprice) AS BIGINT) AS g, round(sin(p_size), 9) AS h, round(log10(p_retailprice), 9) AS i,
+        round(radians(p_size), 9) AS j, CAST(p_size & 7 AS BIGINT) AS k FROM {part}""",
     "page_hosts": "SELECT regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '/.*$', '') AS host, count(*) AS n FROM {pages} GROUP BY 1",
 }
 

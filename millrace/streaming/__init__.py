@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState
 
 
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -42,11 +46,20 @@ def _summed(groups, key: str) -> DataFrame:
     )
 
 
-def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all available input into a memory table and returns it."""
-    query = (
-        stream.writeStream.format("memory").queryName(name).outputMode(mode)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def totals_by_user(events: DataFrame) -> DataFrame:
+    """For each batch, the number and value of all events so far of each user that had some: state that Spark keeps between batches."""
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, total = state.get if state.exists else (0, 0.0)
+        for part in parts:
+            n, total = n + len(part), total + float(part["value"].sum())
+        state.update((n, total))
+        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "total": [round(total, 4)]})
+
+    return events.groupBy("user_id").applyInPandasWithState(run, "user_id long, n long, total double", "n long, total double", "update", "NoTimeout")
+
+
+def to_files(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Runs a stream over all that is there into Parquet files, and reads them. What was read before isn't read again."""
+    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
