@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 import re
-import sys
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
@@ -27,13 +26,17 @@ CACHE = 400_000
 UNKNOWN = "und"
 
 
-def _letters() -> re.Pattern:
-    """Runs of letters by Unicode category: what Python counts as a word without digits, other numbers and the underscore."""
-    number = "".join(re.escape(c) for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-    return re.compile(rf"[^\W\d_{number}]+")
+_ALNUM = re.compile(r"[^\W\d_]+")
 
 
-LETTERS = _letters()
+def letters(text: str) -> Counter:
+    """The runs of letters (by Unicode category) of a text in lower case, and how often they occur."""
+    out = Counter(_ALNUM.findall(text.lower()))
+    for word in [w for w in out if not w.isalpha()]:  # numbers that are no decimal digits, as fractions
+        n = out.pop(word)
+        for run in "".join(c if c.isalpha() else " " for c in word).split():
+            out[run] += n
+    return out
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -55,7 +58,7 @@ def _unit(word: str) -> bytes:
 
 def units(text: str) -> Counter:
     """The units of each run of letters in lower case, and how often they occur."""
-    return Counter({_unit(word): n for word, n in Counter(LETTERS.findall(text.lower())).items()})
+    return Counter({_unit(word): n for word, n in letters(text).items()})
 
 
 class Lattice:
@@ -189,7 +192,7 @@ class Scorer:
 
     def scores(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
         """The likeliest language and its posterior probability under even priors."""
-        bags = [Counter(LETTERS.findall(t.lower())) if t else {} for t in texts]
+        bags = [letters(t) if t else {} for t in texts]
         new = set().union(*bags).difference(self.known)
         if len(self.known) + len(new) > CACHE:
             self.known = {}

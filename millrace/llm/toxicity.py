@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import discard, stored
-from millrace.llm.language import LETTERS, held_out
+from millrace.llm.language import held_out, letters
 
 #: Labelled documents that are learned from at most, the first by a hash, and the rank of the interactions.
 TRAIN_DOCS, RANK = 12_000, 6
@@ -28,7 +28,7 @@ def term(word: str) -> int:
 
 def words(text: str | None) -> set[str]:
     """The text's terms: its words, and the beginnings of 3 to 5 letters that longer words share (marked by a star)."""
-    out = set(LETTERS.findall((text or "").lower()))
+    out = set(letters(text or ""))
     return out | {f"{w[:n]}*" for n in (3, 4, 5) for w in out if len(w) > n}
 
 
