@@ -93,8 +93,9 @@ def _sketched(rows: DataFrame, words: int, bits: int) -> DataFrame:
 
 def _prefixed(rows: DataFrame, counts: np.ndarray, words: int, bits: int) -> DataFrame:
     """``id``, ``prefix`` of rarity codes, ``s0`` and ``s1`` (as in ``line_dedup``) from ``id`` and ``text``."""
-    levels = np.floor(2 * np.log2(np.maximum(counts, 1))).astype(np.uint64)
-    rare = rows.sparkSession.sparkContext.broadcast(levels.astype(np.uint8))
+    # by the slots' ranks, which tell a passage of some dozen copies from the chance counts of a slot
+    levels = (np.argsort(np.argsort(counts, kind="stable"), kind="stable") * 127 // len(counts)).astype(np.uint8)
+    rare = rows.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,21 +143,29 @@ def _crossing(codes: DataFrame) -> DataFrame:
 
     In each code, the classes of the component that has the most there (of those of over MANY classes) are only
     looked up, and don't look up, as they could find but each other. So a large component makes no pairs within.
+    Of two that both look up, the greater one does.
     """
     rows = codes.where("n > 3").select("id", "comp", "many", "s0", "s1", F.col("n").cast("long").alias("n"), F.posexplode("prefix").alias("i", "code"))
     most = rows.where("many").groupBy("code", "comp").agg(F.count("*").alias("k")).groupBy("code").agg(F.max(F.struct("k", "comp"))["comp"].alias("most"))
-    rows = rows.select("code", "id", "comp", "s0", "s1", (F.shiftleft("n", 32) + F.col("i")).alias("m"), "many")
-    a = rows.drop("many").toDF("code", "x", "c1", "a0", "a1", "m1")
-    single, many = rows.where("NOT many").drop("many"), rows.where("many").drop("many")
-    others = many.join(most, "code").where("comp <> most").drop("most")
-    b = single.union(others.select(single.columns)).toDF("code", "y", "c2", "b0", "b1", "m2")
+    cols = ["code", "id", "comp", "s0", "s1"]
+    state = F.shiftleft("n", 32) + F.col("i")
+    single = rows.where("NOT many").select(*cols, state.alias("m"))
+    # one long holds the size, whether the class is only looked up and the code's place
+    passive = F.when(F.col("comp") == F.col("most"), 1 << 31).otherwise(0)
+    large = rows.where("many").join(most, "code").select(*cols, (state + passive).alias("m"))
+    found = F.col("m").bitwiseAND(F.lit(1 << 31)) == 0
+    size, place = F.shiftright("m", 32), F.col("m").bitwiseAND(F.lit((1 << 31) - 1))
+    index = lambda n, i: (n - i) * (UP + DOWN) >= n * 2 * UP
+    # the smaller set of a pair is looked up by its index prefix only
+    a = single.union(large).where(~found | index(size, place)).toDF("code", "x", "c1", "a0", "a1", "m1")
+    b = single.union(large.where(found)).toDF("code", "y", "c2", "b0", "b1", "m2")
     n1, n2 = F.shiftright("m1", 32), F.shiftright("m2", 32)
+    once = (F.col("m1").bitwiseAND(F.lit(1 << 31)) != 0) | (n1 < n2) | ((n1 == n2) & (F.col("x") < F.col("y")))
     i1, i2 = F.col("m1").bitwiseAND(F.lit((1 << 31) - 1)), F.col("m2").bitwiseAND(F.lit((1 << 31) - 1))
     placed = F.least(n1 - i1, n2 - i2) * (UP + DOWN) >= (n1 + n2) * UP
-    index = lambda n, i: (n - i) * (UP + DOWN) >= n * 2 * UP
     placed &= F.when(n1 <= n2, index(n1, i1)).otherwise(index(n2, i2))
     alike = _alike(n1, (F.col("a0"), F.col("a1")), n2, (F.col("b0"), F.col("b1")))
-    pairs = a.join(b, "code").where((F.col("c1") != F.col("c2")) & placed & alike)
+    pairs = a.join(b, "code").where((F.col("c1") != F.col("c2")) & once & placed & alike)
     return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
