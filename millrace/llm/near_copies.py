@@ -25,6 +25,8 @@ from millrace.llm.simhash import links
 WORDS, DISTANCE = 5, 3
 #: Classes of a component that count as many: within one of more, no pairs are made.
 MANY = 64
+#: Bits of the signature that sifts pairs, a power of two.
+WIDE = 1024
 #: Least hashes under so many orders, of which a class and the first of its bucket must share AGREE to be compared.
 ORDERS, AGREE = 8, 4
 _ODD = np.array([xxhash.xxh64_intdigest(bytes([i])) | 1 for i in range(ORDERS)], dtype=np.uint64)
@@ -92,25 +94,28 @@ def _sketched(rows: DataFrame, words: int, bits: int) -> DataFrame:
 
 
 def _prefixed(rows: DataFrame, counts: np.ndarray, words: int, bits: int) -> DataFrame:
-    """``id``, ``prefix`` of rarity codes, ``s0`` and ``s1`` (as in ``line_dedup``) from ``id`` and ``text``."""
+    """``id``, ``prefix`` of rarity codes, ``s0`` and ``s1`` (as in ``line_dedup``) and ``wide``, a signature of WIDE bits, from ``id`` and ``text``."""
     # by the slots' ranks, which tell a passage of some dozen copies from the chance counts of a slot
     levels = (np.argsort(np.argsort(counts, kind="stable"), kind="stable") * 127 // len(counts)).astype(np.uint8)
     rare = rows.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prefix, sig = [], np.zeros((batch.num_rows, 2), np.uint64)
+            prefix, sig, wide = [], np.zeros((batch.num_rows, 2), np.uint64), np.zeros((batch.num_rows, WIDE // 64), np.uint64)
             for k, t in enumerate(batch.column("text")):
                 s = shingles(t.as_py(), words)
                 code = (rare.value[(s >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
                 odd = np.bincount((code & np.uint64(127 if len(s) > SHORT else 63)).astype(np.int64), minlength=128) & 1
                 sig[k] = np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
+                odd = np.bincount((code & np.uint64(WIDE - 1)).astype(np.int64), minlength=WIDE) & 1
+                wide[k] = np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
                 keep = len(s) - -(-len(s) * UP // DOWN) + 1 if len(s) else 0
                 prefix.append(np.sort(code)[:keep].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(prefix, pa.list_(pa.int64())), *(pa.array(sig[:, i].copy().view(np.int64)) for i in (0, 1))], ["id", "prefix", "s0", "s1"])
+                [batch.column("id"), pa.array(prefix, pa.list_(pa.int64())), *(pa.array(sig[:, i].copy().view(np.int64)) for i in (0, 1)),
+                 pa.array(list(wide.view(np.int64)), pa.list_(pa.int64()))], ["id", "prefix", "s0", "s1", "wide"])
 
-    return rows.select("id", "text").mapInArrow(run, "id long, prefix array<long>, s0 long, s1 long")
+    return rows.select("id", "text").mapInArrow(run, "id long, prefix array<long>, s0 long, s1 long, wide array<long>")
 
 
 def _hashed(rows: DataFrame, words: int) -> DataFrame:
@@ -169,6 +174,14 @@ def _crossing(codes: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
+def _sifted(pairs: DataFrame, codes: DataFrame) -> DataFrame:
+    """The pairs whose wide signatures allow the threshold: those of texts of some thousand words are told apart without their shingles."""
+    own = codes.select("id", "n", "wide")
+    rows = pairs.join(own.toDF("x", "n1", "w1"), "x").join(own.toDF("y", "n2", "w2"), "y")
+    unlike = F.aggregate(F.zip_with("w1", "w2", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, v: s + v)
+    return rows.where(unlike * (UP + DOWN) <= (F.col("n1") + F.col("n2")) * (DOWN - UP)).select("x", "y")
+
+
 def _true(rows: DataFrame, sets: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
     """The pairs ``x``, ``y`` of classes whose shingles reach the threshold; texts of these classes alone are read again."""
     ids = few(pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct(), BROADCAST_ROWS)
@@ -216,8 +229,9 @@ def drop_copies(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE, b
     of = of.select("id", "n", "comp", F.coalesce("many", F.lit(False)).alias("many"), "_file", "_row")
     prefixed = _prefixed(rows.join(few(of.select("id", "_file", "_row"), BROADCAST_ROWS), ["_file", "_row"]), counts, words, bits)
     codes = stored(prefixed.join(of.drop("n", "_file", "_row").join(sets.select("id", F.col("n").cast("int").alias("n")), "id"), "id"))
-    pairs = stored(_crossing(codes))
-    discard(codes)
+    crossing = stored(_crossing(codes))
+    pairs = stored(_sifted(crossing, codes))
+    discard(codes, crossing)
     more = _true(rows, sets, pairs, words)
     root = joined.select("id", "comp")
     across = more.join(root.toDF("x", "a"), "x").join(root.toDF("y", "b"), "y").select("a", "b")
