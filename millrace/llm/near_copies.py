@@ -94,7 +94,7 @@ def _sketched(rows: DataFrame, words: int, bits: int) -> DataFrame:
 
 
 def _prefixed(rows: DataFrame, counts: np.ndarray, words: int, bits: int) -> DataFrame:
-    """``id``, ``prefix`` of rarity codes, ``s0`` and ``s1`` (as in ``line_dedup``) and ``wide``, a signature of WIDE bits, from ``id`` and ``text``."""
+    """``_file``, ``_row``, ``prefix`` of rarity codes, ``s0`` and ``s1`` (as in ``line_dedup``) and ``wide``, a signature of WIDE bits, of each row's text."""
     # by the slots' ranks, which tell a passage of some dozen copies from the chance counts of a slot
     levels = (np.argsort(np.argsort(counts, kind="stable"), kind="stable") * 127 // len(counts)).astype(np.uint8)
     rare = rows.sparkSession.sparkContext.broadcast(levels)
@@ -112,10 +112,10 @@ def _prefixed(rows: DataFrame, counts: np.ndarray, words: int, bits: int) -> Dat
                 keep = len(s) - -(-len(s) * UP // DOWN) + 1 if len(s) else 0
                 prefix.append(np.sort(code)[:keep].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(prefix, pa.list_(pa.int64())), *(pa.array(sig[:, i].copy().view(np.int64)) for i in (0, 1)),
-                 pa.array(list(wide.view(np.int64)), pa.list_(pa.int64()))], ["id", "prefix", "s0", "s1", "wide"])
+                [batch.column("_file"), batch.column("_row"), pa.array(prefix, pa.list_(pa.int64())), *(pa.array(sig[:, i].copy().view(np.int64)) for i in (0, 1)),
+                 pa.array(list(wide.view(np.int64)), pa.list_(pa.int64()))], ["_file", "_row", "prefix", "s0", "s1", "wide"])
 
-    return rows.select("id", "text").mapInArrow(run, "id long, prefix array<long>, s0 long, s1 long, wide array<long>")
+    return rows.select("_file", "_row", "text").mapInArrow(run, "_file long, _row long, prefix array<long>, s0 long, s1 long, wide array<long>")
 
 
 def _hashed(rows: DataFrame, words: int) -> DataFrame:
@@ -227,8 +227,9 @@ def drop_copies(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE, b
     sizes = joined.groupBy("comp").agg((F.count("*") > MANY).alias("many")).where("many")
     of = joined.where("n > 3").select("id", F.col("n").cast("int").alias("n"), "comp", "o._file", "o._row").join(sizes, "comp", "left")
     of = of.select("id", "n", "comp", F.coalesce("many", F.lit(False)).alias("many"), "_file", "_row")
-    prefixed = _prefixed(rows.join(few(of.select("id", "_file", "_row"), BROADCAST_ROWS), ["_file", "_row"]), counts, words, bits)
-    codes = stored(prefixed.join(of.drop("n", "_file", "_row").join(sets.select("id", F.col("n").cast("int").alias("n")), "id"), "id"))
+    # made of all rows, as most are the first of their class, so that prefixes are shuffled and not texts
+    prefixed = _prefixed(rows, counts, words, bits)
+    codes = stored(prefixed.join(few(of, BROADCAST_ROWS), ["_file", "_row"]).drop("_file", "_row"))
     crossing = stored(_crossing(codes))
     pairs = stored(_sifted(crossing, codes))
     discard(codes, crossing)
