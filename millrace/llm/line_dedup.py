@@ -23,34 +23,40 @@ def lines(docs: DataFrame) -> DataFrame:
     return docs.where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
-def rarity(docs: DataFrame, bits: int) -> str:
-    """How frequent the tokens of each of 2^bits hash buckets are: twice the binary logarithm of their number in all texts, parted by commas.
+def hashed(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``line_no``, ``crc`` (the line's hash) and ``words`` (different tokens as 64-bit hashes) of the lines that have tokens."""
+    rows = lines(docs).where(F.col("line").rlike(r"[\p{L}\p{N}]"))
+    words = F.array_distinct(F.transform(tokens("line"), lambda w: F.xxhash64(w)))
+    return rows.select("doc_id", "line_no", F.xxhash64("line").alias("crc"), words.alias("words"))
+
 
-    Counted in longs over everything, so no count is cut off. The table's size
+def rarity(rows: DataFrame, bits: int) -> str:
+    """How frequent the tokens of each of 2^bits hash buckets are: twice the binary logarithm of the number of lines they stand in, parted by commas.
+
+    Counted in longs over all of the ``hashed`` lines, so no count is cut off. The table's size
     follows ``bits`` alone (under 1 MB at 18), whatever the input; where the vocabulary is much
     larger than 2^bits, rare tokens share buckets, which costs time and no pair.
     """
-    slot = F.shiftrightunsigned(F.xxhash64("w"), 64 - bits).alias("i")
-    counts = docs.select(F.explode(tokens("text")).alias("w")).groupBy(slot).agg(F.count("*").alias("n"))
-    every = docs.sparkSession.range(0, 1 << bits, 1, 8).withColumnRenamed("id", "j").join(counts, F.col("i") == F.col("j"), "left")
+    slot = F.shiftrightunsigned("w", 64 - bits).alias("i")
+    counts = rows.select(F.explode("words").alias("w")).groupBy(slot).agg(F.count("*").alias("n"))
+    every = rows.sparkSession.range(0, 1 << bits, 1, 8).withColumnRenamed("id", "j").join(counts, F.col("i") == F.col("j"), "left")
     level = F.floor(2 * F.log2(F.coalesce("n", F.lit(1)))).cast("string")
     row = every.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("j", level.alias("c")))), lambda x: x["c"]), ",").alias("levels"))
     return row.first()["levels"]
 
 
-def _codes(words: Column, levels: str, bits: int) -> Column:
-    """The line's different tokens, rarest first, as longs: the bucket's level above 56 bits of the hash, the bucket's number among them.
+def _codes(words: str, levels: str, bits: int) -> Column:
+    """The hashes of a line's different tokens, rarest first, as longs: the bucket's level above 56 bits of the hash, the bucket's number among them.
 
     Equal tokens have equal codes, so the filters that work on codes lose no pair;
     unlike tokens hardly ever share one, and the verification doesn't use codes.
     """
     table = F.split(F.lit(levels), ",").cast("array<long>")  # folded to a constant once
 
-    def code(w: Column) -> Column:
-        h = F.xxhash64(w)
+    def code(h: Column) -> Column:
         return F.shiftleft(F.get(table, F.shiftrightunsigned(h, 64 - bits).cast("int")), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
-    return F.sort_array(F.array_distinct(F.transform(words, code)))
+    return F.sort_array(F.transform(words, code))
 
 
 def classes(docs: DataFrame, bits: int = BITS) -> DataFrame:
@@ -59,16 +65,20 @@ def classes(docs: DataFrame, bits: int = BITS) -> DataFrame:
     A prefix has n - ceil(0.8 n) + 1 codes: sets that reach the threshold share one.
     Bit b of the signature is the parity of the number of tokens that hash to b: of 64 bits in
     ``s0`` for sets of up to SHORT tokens, of 128 in ``s0`` and ``s1`` for longer ones.
+    Texts are cut into tokens once: their hashes are stored between the count and the codes.
     """
-    rows = lines(docs).where(F.col("line").rlike(r"[\p{L}\p{N}]"))
-    rows = rows.select("doc_id", "line_no", F.xxhash64("line").alias("crc"), _codes(tokens("line"), rarity(docs, bits), bits).alias("codes"))
+    cut = stored(hashed(docs))
+    rows = cut.select("doc_id", "line_no", "crc", _codes("words", rarity(cut, bits), bits).alias("codes"))
     rows = rows.withColumn("n", F.size("codes"))
     prefix = F.slice("codes", F.lit(1), F.col("n") - F.ceil(F.col("n") * UP / DOWN).cast("int") + 1)
     parity = lambda bit: F.expr(f"aggregate(codes, 0L, (s, c) -> s ^ shiftleft({bit}, cast(c & 63L as int)))")
     rows = rows.select("*", parity("1L").alias("s"), F.when(F.col("n") > SHORT, parity("shiftrightunsigned(c, 6) & 1L")).otherwise(0).alias("s1"))
     at = F.struct("doc_id", "line_no", "crc", prefix.alias("prefix"), F.col("s").bitwiseXOR(F.col("s1")).alias("s0"), "s1")
     rows = rows.select("n", F.xxhash64("codes").alias("id"), F.xxhash64(F.lit(1), "codes").alias("h2"), at.alias("at"))
-    return rows.groupBy("n", "id", "h2").agg(F.min("at").alias("at")).select("n", "id", "at.*")
+    # by the hash first, on which rows sort fast
+    sets = stored(rows.groupBy("id", "h2", "n").agg(F.min("at").alias("at")).select("n", "id", "at.*"))
+    discard(cut)
+    return sets
 
 
 def _alike(n1: Column, a: tuple[Column, Column], n2: Column, b: tuple[Column, Column]) -> Column:
@@ -150,7 +160,7 @@ def kept_lines(docs: DataFrame, bits: int = BITS, broadcast_rows: int = BROADCAS
     doc_id comes first. Null and empty texts have no lines to lose, an empty table none at all.
     """
     docs = docs.select("doc_id", "text")
-    sets = stored(classes(docs, bits))
+    sets = classes(docs, bits)
     leads = stored(leading(sets))
     settled = stored(verified(docs, sets, leads, broadcast_rows))
     discard(leads)
@@ -161,13 +171,16 @@ def kept_lines(docs: DataFrame, bits: int = BITS, broadcast_rows: int = BROADCAS
     return sets.select("doc_id", "line_no").join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("line_no") == F.col("_l")), "left_anti")
 
 
-def _numbers(docs: DataFrame, **how) -> DataFrame:
-    """``own`` (a row as a struct) with the array ``cut`` of its lines and the numbers ``kept`` of those that stay."""
-    kept = kept_lines(docs, **how).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("line_no").alias("due"))
-    rows = docs.select(F.struct("*").alias("own")).join(kept, F.col("own.doc_id").eqNullSafe(F.col("_doc")), "left").withColumn("cut", F.split("own.text", "\n"))
-    some = F.transform("cut", lambda line, i: F.when(~line.rlike(r"[\p{L}\p{N}]"), i))
-    both = F.concat(F.coalesce("due", F.array().cast("array<int>")), F.array_compact(F.coalesce(some, F.array().cast("array<int>"))))
-    return rows.select("own", "cut", F.array_sort(F.array_distinct(both)).alias("kept"))
+def _numbers(docs: DataFrame, carried: Column, **how) -> DataFrame:
+    """``own`` (what of a row is carried along), ``n_lines`` and the numbers ``kept`` of the lines that stay, made before texts would be shuffled."""
+    due = kept_lines(docs, **how).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("line_no").alias("due"))
+    cut = F.split("text", "\n")
+    bare = F.array_compact(F.transform(cut, lambda line, i: F.when(~line.rlike(r"[\p{L}\p{N}]"), i)))
+    rows = docs.select(carried.alias("own"), F.col("doc_id").alias("_id"), F.size(cut).alias("n_lines"), bare.alias("bare"))
+    none = F.array().cast("array<int>")
+    both = F.concat(F.coalesce("due", none), F.coalesce("bare", none))
+    rows = rows.join(due, F.col("_id").eqNullSafe(F.col("_doc")), "left")
+    return rows.select("own", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.array_sort(F.array_distinct(both)).alias("kept"))
 
 
 def dedup_lines(docs: DataFrame, **how) -> DataFrame:
@@ -175,17 +188,16 @@ def dedup_lines(docs: DataFrame, **how) -> DataFrame:
 
     Columns are unchanged, whatever their names.
     """
+    rows = _numbers(docs, F.struct("*"), **how).select("own", "kept", F.split("own.text", "\n").alias("cut"))
     text = F.when(F.col("own.text").isNotNull(), F.array_join(F.array_compact(F.transform("kept", lambda i: F.get("cut", i))), "\n"))
-    return _numbers(docs, **how).select(F.col("own").withField("text", text).alias("own")).select("own.*")
+    return rows.select(F.col("own").withField("text", text).alias("own")).select("own.*")
 
 
 def op4_line_join(spark, sf_dir: str) -> DataFrame:
     """For every document its number of lines and the numbers of those that stay."""
-    rows = _numbers(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    return rows.select(
-        F.col("own.doc_id").alias("doc_id"), F.coalesce(F.size("cut"), F.lit(0)).cast("long").alias("n_lines"),
-        F.size("kept").cast("long").alias("n_kept"), F.array_join("kept", ",").alias("kept"),
-    )
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    rows = _numbers(docs, F.struct("doc_id"))
+    return rows.select("own.doc_id", "n_lines", F.size("kept").cast("long").alias("n_kept"), F.array_join("kept", ",").alias("kept"))
 
 
 ORACLE = r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no
