@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import discard, few, stored
-from millrace.llm.decontaminate import tokens
 
 #: Jaccard of at least UP / DOWN = 0.8, in whole numbers.
 UP, DOWN = 4, 5
+#: What a token is: letters and digits.
+TOKEN = r"[\p{L}\p{N}]+"
 #: Hash buckets (as a power of two) by which the rarity of tokens is counted.
 BITS = 18
 #: Tokens of a line up to which one half of the signature tells lines apart.
 SHORT = 70
+#: Parts of a bucket, by the classes' hashes, whose first members lead it.
+LEADERS = 8
+#: Earlier classes, the likest ones, that a class is compared with before the rest of its candidates.
+NEAREST = 4
 #: Classes or places of lines, of a few longs each, sent to every task at most (some 10 MB).
 BROADCAST_ROWS = 200_000
 
@@ -23,11 +28,15 @@ def lines(docs: DataFrame) -> DataFrame:
     return docs.where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
+def words_of(line: str) -> Column:
+    """The different lower-case tokens of a line as 64-bit hashes."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.lower(line), F.lit(TOKEN), F.lit(0)), lambda w: F.xxhash64(w)))
+
+
 def hashed(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``line_no``, ``crc`` (the line's hash) and ``words`` (different tokens as 64-bit hashes) of the lines that have tokens."""
     rows = lines(docs).where(F.col("line").rlike(r"[\p{L}\p{N}]"))
-    words = F.array_distinct(F.transform(tokens("line"), lambda w: F.xxhash64(w)))
-    return rows.select("doc_id", "line_no", F.xxhash64("line").alias("crc"), words.alias("words"))
+    return rows.select("doc_id", "line_no", F.xxhash64("line").alias("crc"), words_of("line").alias("words"))
 
 
 def rarity(rows: DataFrame, bits: int) -> str:
@@ -54,7 +63,9 @@ def _codes(words: str, levels: str, bits: int) -> Column:
     table = F.split(F.lit(levels), ",").cast("array<long>")  # folded to a constant once
 
     def code(h: Column) -> Column:
-        return F.shiftleft(F.get(table, F.shiftrightunsigned(h, 64 - bits).cast("int")), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+        level = F.get(table, F.shiftrightunsigned(h, 64 - bits).cast("int"))
+        # never null, so that plain longs are sorted
+        return F.coalesce(F.shiftleft(level, 56).bitwiseOR(F.shiftrightunsigned(h, 8)), F.lit(0).cast("long"))
 
     return F.sort_array(F.transform(words, code))
 
@@ -81,57 +92,67 @@ def classes(docs: DataFrame, bits: int = BITS) -> DataFrame:
     return sets
 
 
-def _alike(n1: Column, a: tuple[Column, Column], n2: Column, b: tuple[Column, Column]) -> Column:
-    """The length and signature filters: unlike tokens are at most (1 - t) / (1 + t) of both sizes at a Jaccard of t.
-
-    Halves that are exclusively or-ed make the shorter signature.
-    """
+def _unlike(n1: Column, a: tuple[Column, Column], n2: Column, b: tuple[Column, Column]) -> Column:
+    """Bits in which signatures differ, which unlike tokens are at least. Halves that are exclusively or-ed make the shorter signature."""
     x, y = a[0].bitwiseXOR(b[0]), a[1].bitwiseXOR(b[1])
-    unlike = F.when((n1 <= SHORT) | (n2 <= SHORT), F.bit_count(x.bitwiseXOR(y))).otherwise(F.bit_count(x) + F.bit_count(y))
-    return (n1 * DOWN >= n2 * UP) & (n2 * DOWN >= n1 * UP) & (unlike * (UP + DOWN) <= (n1 + n2) * (DOWN - UP))
+    return F.when((n1 <= SHORT) | (n2 <= SHORT), F.bit_count(x.bitwiseXOR(y))).otherwise(F.bit_count(x) + F.bit_count(y))
+
+
+def _alike(n1: Column, a: tuple[Column, Column], n2: Column, b: tuple[Column, Column]) -> Column:
+    """The length and signature filters: unlike tokens are at most (1 - t) / (1 + t) of both sizes at a Jaccard of t."""
+    return (n1 * DOWN >= n2 * UP) & (n2 * DOWN >= n1 * UP) & (_unlike(n1, a, n2, b) * (UP + DOWN) <= (n1 + n2) * (DOWN - UP))
 
 
 def leading(sets: DataFrame) -> DataFrame:
-    """Pairs (``x``, ``y``) of a class and the first one of its bucket, if the filters pass them.
+    """Pairs (``x``, ``y``) of a class and the first ones of its bucket's LEADERS parts, if the filters pass them.
 
     Buckets have the same rarest or third rarest code, or the same least or greatest hash among those of the prefix. So there are
-    four pairs a class at most, however many are alike: a large group of near copies is
-    settled by its first member, and the join need look only for what earlier lines the rest have.
+    4 LEADERS pairs a class at most, however many are alike: a large group of near copies is
+    settled by its first members, and the join need look only for what earlier lines the rest have.
     """
     hashes = F.transform("prefix", lambda c: c.bitwiseAND(F.lit((1 << 56) - 1)))
     keys = F.array_compact(F.array_distinct(F.array(F.get(hashes, F.lit(0)), F.get(hashes, F.lit(2)), F.array_min(hashes), F.array_max(hashes))))
     rows = sets.where("n > 3").select("n", "id", "s0", "s1", F.struct("doc_id", "line_no").alias("o"), F.explode(keys).alias("key"))
-    first = rows.groupBy("key").agg(F.min(F.struct("o", "id", "n", "s0", "s1")).alias("f"), F.count("*").alias("k")).where("k > 1").drop("k")
-    alike = _alike(F.col("f.n"), (F.col("f.s0"), F.col("f.s1")), F.col("n"), (F.col("s0"), F.col("s1")))
-    return rows.join(first, "key").where((F.col("f.o") < F.col("o")) & alike).select(F.col("f.id").alias("x"), F.col("id").alias("y")).distinct()
+    row = F.struct("o", "id", "n", "s0", "s1")
+    leaders = [F.min(F.when(F.pmod("id", F.lit(LEADERS)) == i, row)) for i in range(LEADERS)]
+    first = rows.groupBy("key").agg(F.array_compact(F.array(*leaders)).alias("fs"), F.count("*").alias("k")).where("k > 1").drop("k")
+    alike = lambda f: _alike(f["n"], (f["s0"], f["s1"]), F.col("n"), (F.col("s0"), F.col("s1")))
+    ahead = F.transform(F.filter("fs", lambda f: (f["o"] < F.col("o")) & alike(f)), lambda f: f["id"])
+    return rows.join(first, "key").select(F.explode(ahead).alias("x"), F.col("id").alias("y")).distinct()
 
 
 def candidates(sets: DataFrame, settled: DataFrame) -> DataFrame:
-    """Pairs of classes ``x``, ``y``, not both ``settled`` (an ``id`` each), that pass the prefix, length, positional and signature filters.
+    """Pairs of classes ``x``, ``y``, the later of which isn't ``settled`` (an ``id`` each), that pass the prefix, length, positional and signature filters.
 
     The smaller set of a pair is looked up by its first n - ceil(2 t / (1 + t) n) + 1 codes only,
-    as both are at least as large, the greater by its whole prefix. Settled classes meet only open
-    ones, so a group of near copies that its first member settled makes no pairs.
+    as both are at least as large, the greater by its whole prefix. Only an open class asks for earlier ones, so of a
+    group of near copies just those that no first member settled make pairs, and only backwards. Classes
+    that start in the same document are paired if either is open. ``asks`` is the later one (null in the
+    same document), ``far`` in how many bits the signatures differ.
     """
     # one long holds the size, whether the class is open and the code's place
     state = (F.shiftleft(F.col("n").cast("long"), 32) + F.when(F.col("s").isNull(), 1 << 31).otherwise(0)).alias("m")
-    rows = sets.where("n > 3").join(settled.select("id", F.lit(True).alias("s")), "id", "left").select("n", "id", "s0", "s1", state, "prefix")
+    rows = sets.where("n > 3").join(settled.select("id", F.lit(True).alias("s")), "id", "left").select("n", "id", "doc_id", "s0", "s1", state, "prefix")
     index = F.slice("prefix", F.lit(1), F.col("n") - F.ceil(F.col("n") * 2 * UP / (UP + DOWN)).cast("int") + 1)
-    entries = lambda codes: rows.select("id", "s0", "s1", "m", F.posexplode(codes).alias("i", "code")).select("code", "id", "s0", "s1", F.col("m") + F.col("i"))
+    entries = lambda codes: rows.select("id", "doc_id", "s0", "s1", "m", F.posexplode(codes).alias("i", "code")).select("code", "id", "doc_id", "s0", "s1", F.col("m") + F.col("i"))
     is_open = lambda m: m.bitwiseAND(F.lit(1 << 31)) != 0
-    a = entries(index).toDF("code", "x", "a0", "a1", "m1")
-    b = entries(F.col("prefix")).toDF("code", "y", "b0", "b1", "m2")
+    a = entries(index).toDF("code", "x", "d1", "a0", "a1", "m1")
+    b = entries(F.col("prefix")).toDF("code", "y", "d2", "b0", "b1", "m2")
     n1, n2 = F.shiftright("m1", 32), F.shiftright("m2", 32)
     i1, i2 = F.col("m1").bitwiseAND(F.lit((1 << 31) - 1)), F.col("m2").bitwiseAND(F.lit((1 << 31) - 1))
     once = (n1 < n2) | ((n1 == n2) & (F.col("x") < F.col("y")))
+    before = lambda p, q: F.coalesce(F.col(p) < F.col(q), F.col(p).isNull() & F.col(q).isNotNull())
+    asked = (is_open(F.col("m1")) & ~before("d1", "d2")) | (is_open(F.col("m2")) & ~before("d2", "d1"))
     # an overlap of t / (1 + t) of both sizes makes a Jaccard of t
     placed = F.least(n1 - i1, n2 - i2) * (UP + DOWN) >= (n1 + n2) * UP
-    alike = _alike(n1, (F.col("a0"), F.col("a1")), n2, (F.col("b0"), F.col("b1")))
-    return a.join(b, "code").where(once & (is_open(F.col("m1")) | is_open(F.col("m2"))) & placed & alike).select("x", "y").distinct()
+    marks = n1, (F.col("a0"), F.col("a1")), n2, (F.col("b0"), F.col("b1"))
+    later = F.when(before("d1", "d2"), F.col("y")).when(before("d2", "d1"), F.col("x"))
+    found = a.join(b, "code").where(once & asked & placed & _alike(*marks))
+    return found.select("x", "y", later.alias("asks"), _unlike(*marks).alias("far")).distinct()
 
 
-def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, broadcast_rows: int) -> DataFrame:
-    """``id`` and place of the later one of every pair of ``x`` and ``y`` whose tokens reach the threshold.
+def words_of_classes(docs: DataFrame, sets: DataFrame, pairs: DataFrame, broadcast_rows: int) -> DataFrame:
+    """``id``, place ``at`` and ``words`` of the classes in pairs of ``x`` and ``y``.
 
     Texts are read again, and only the lines of the pairs' classes are cut into tokens. ``crc``, the
     line's hash, tells rows of the same doc_id apart.
@@ -142,14 +163,33 @@ def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, broadcast_rows:
     own = lines(docs.join(some, F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")).withColumn("crc", F.xxhash64("line"))
     at = (F.col("crc") == F.col("_c")) & (F.col("line_no") == F.col("_l")) & F.col("doc_id").eqNullSafe(F.col("_d"))
     texts = own.join(few(wanted, broadcast_rows), at)
-    texts = texts.select("id", F.struct("doc_id", "line_no", "id").alias("at"), F.array_distinct(F.transform(tokens("line"), lambda w: F.xxhash64(w))).alias("words"))
-    texts = texts.dropDuplicates(["id"])  # rows that repeat hold the line twice
+    texts = texts.select("id", F.struct("doc_id", "line_no", "id").alias("at"), words_of("line").alias("words"))
+    return texts.dropDuplicates(["id"])  # rows that repeat hold the line twice
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``id`` and place of the later one of every pair of ``x`` and ``y`` whose tokens reach the threshold."""
     a, b = texts.toDF("x", "at1", "w1"), texts.toDF("y", "at2", "w2")
     alike = F.size(F.array_intersect("w1", "w2")) * (UP + DOWN) >= (F.size("w1") + F.size("w2")) * UP
     apart = ~F.col("at1.doc_id").eqNullSafe(F.col("at2.doc_id")) | (F.col("at1.line_no") != F.col("at2.line_no"))
     return pairs.join(a, "x").join(b, "y").where(apart & alike).select(F.greatest("at1", "at2").alias("late")).distinct().select("late.*")
 
 
+def settled_by(docs: DataFrame, sets: DataFrame, pairs: DataFrame, broadcast_rows: int, nearest: int = NEAREST) -> list[DataFrame]:
+    """What ``verified`` gives for all pairs of ``candidates``: first of the ``nearest`` ones of each class, then of all others of those that these leave open.
+
+    One earlier class is enough for a line to go, so a group of near copies is settled by a few pairs a class.
+    """
+    texts = stored(words_of_classes(docs, sets, pairs, broadcast_rows))
+    order = Window.partitionBy(F.coalesce("asks", "x")).orderBy("far", "x", "y")
+    ranked = stored(pairs.withColumn("turn", F.when(F.col("asks").isNull(), 0).otherwise(F.row_number().over(order))))
+    near = stored(verified(ranked.where(F.col("turn") <= nearest).select("x", "y"), texts))
+    done = few(near.select(F.col("id").alias("asks")), broadcast_rows)
+    rest = stored(verified(ranked.where(F.col("turn") > nearest).join(done, "asks", "left_anti").select("x", "y"), texts))
+    discard(texts, ranked)
+    return [near, rest]
+
+
 def kept_lines(docs: DataFrame, bits: int = BITS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``doc_id``, ``line_no`` of the lines that stay, lines without tokens aside.
 
@@ -162,12 +202,12 @@ def kept_lines(docs: DataFrame, bits: int = BITS, broadcast_rows: int = BROADCAS
     docs = docs.select("doc_id", "text")
     sets = classes(docs, bits)
     leads = stored(leading(sets))
-    settled = stored(verified(docs, sets, leads, broadcast_rows))
+    settled = stored(verified(leads, words_of_classes(docs, sets, leads, broadcast_rows)))
     discard(leads)
     pairs = stored(candidates(sets, few(settled.select("id"), broadcast_rows)))
-    late = stored(verified(docs, sets, pairs, broadcast_rows))
+    near, rest = settled_by(docs, sets, pairs, broadcast_rows)
     discard(pairs)
-    gone = few(settled.union(late).select(F.col("doc_id").alias("_d"), F.col("line_no").alias("_l")), broadcast_rows)
+    gone = few(settled.union(near).union(rest).select(F.col("doc_id").alias("_d"), F.col("line_no").alias("_l")), broadcast_rows)
     return sets.select("doc_id", "line_no").join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("line_no") == F.col("_l")), "left_anti")
 
 
