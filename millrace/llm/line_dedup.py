@@ -116,9 +116,9 @@ def leading(sets: DataFrame) -> DataFrame:
     row = F.struct("o", "id", "n", "s0", "s1")
     leaders = [F.min(F.when(F.pmod("id", F.lit(LEADERS)) == i, row)) for i in range(LEADERS)]
     first = rows.groupBy("key").agg(F.array_compact(F.array(*leaders)).alias("fs"), F.count("*").alias("k")).where("k > 1").drop("k")
-    alike = lambda f: _alike(f["n"], (f["s0"], f["s1"]), F.col("n"), (F.col("s0"), F.col("s1")))
-    ahead = F.transform(F.filter("fs", lambda f: (f["o"] < F.col("o")) & alike(f)), lambda f: f["id"])
-    return rows.join(first, "key").select(F.explode(ahead).alias("x"), F.col("id").alias("y")).distinct()
+    both = rows.join(first, "key").select("n", "id", "s0", "s1", "o", F.explode("fs").alias("f"))
+    alike = _alike(F.col("f.n"), (F.col("f.s0"), F.col("f.s1")), F.col("n"), (F.col("s0"), F.col("s1")))
+    return both.where((F.col("f.o") < F.col("o")) & alike).select(F.col("f.id").alias("x"), F.col("id").alias("y")).distinct()
 
 
 def candidates(sets: DataFrame, settled: DataFrame) -> DataFrame:
