@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +18,8 @@ TOKEN = r"[\p{L}\p{N}]+"
 BITS = 18
 #: Tokens of a line up to which one half of the signature tells lines apart.
 SHORT = 70
+#: Classes from which a bucket has leaders.
+GROUP = 64
 #: Parts of a bucket, by the classes' hashes, whose first members lead it.
 LEADERS = 8
 #: Earlier classes, the likest ones, that a class is compared with before the rest of its candidates.
@@ -39,6 +44,11 @@ def hashed(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "line_no", F.xxhash64("line").alias("crc"), words_of("line").alias("words"))
 
 
+def held(docs: DataFrame) -> DataFrame:
+    """``hashed`` lines, kept on the executors' disks from their first use on: they are written and read faster than Parquet, and cut anew if an executor is lost."""
+    return hashed(docs).persist(StorageLevel.DISK_ONLY)
+
+
 def rarity(rows: DataFrame, bits: int) -> str:
     """How frequent the tokens of each of 2^bits hash buckets are: twice the binary logarithm of the number of lines they stand in, parted by commas.
 
@@ -76,9 +86,15 @@ def classes(docs: DataFrame, bits: int = BITS) -> DataFrame:
     A prefix has n - ceil(0.8 n) + 1 codes: sets that reach the threshold share one.
     Bit b of the signature is the parity of the number of tokens that hash to b: of 64 bits in
     ``s0`` for sets of up to SHORT tokens, of 128 in ``s0`` and ``s1`` for longer ones.
-    Texts are cut into tokens once: their hashes are stored between the count and the codes.
     """
-    cut = stored(hashed(docs))
+    cut = held(docs)
+    sets = classes_of(cut, bits)
+    cut.unpersist()
+    return sets
+
+
+def classes_of(cut: DataFrame, bits: int) -> DataFrame:
+    """``classes`` of ``hashed`` lines, which are read twice."""
     rows = cut.select("doc_id", "line_no", "crc", _codes("words", rarity(cut, bits), bits).alias("codes"))
     rows = rows.withColumn("n", F.size("codes"))
     prefix = F.slice("codes", F.lit(1), F.col("n") - F.ceil(F.col("n") * UP / DOWN).cast("int") + 1)
@@ -87,9 +103,7 @@ def classes(docs: DataFrame, bits: int = BITS) -> DataFrame:
     at = F.struct("doc_id", "line_no", "crc", prefix.alias("prefix"), F.col("s").bitwiseXOR(F.col("s1")).alias("s0"), "s1")
     rows = rows.select("n", F.xxhash64("codes").alias("id"), F.xxhash64(F.lit(1), "codes").alias("h2"), at.alias("at"))
     # by the hash first, on which rows sort fast
-    sets = stored(rows.groupBy("id", "h2", "n").agg(F.min("at").alias("at")).select("n", "id", "at.*"))
-    discard(cut)
-    return sets
+    return stored(rows.groupBy("id", "h2", "n").agg(F.min("at").alias("at")).select("n", "id", "at.*"))
 
 
 def _unlike(n1: Column, a: tuple[Column, Column], n2: Column, b: tuple[Column, Column]) -> Column:
@@ -103,22 +117,29 @@ def _alike(n1: Column, a: tuple[Column, Column], n2: Column, b: tuple[Column, Co
     return (n1 * DOWN >= n2 * UP) & (n2 * DOWN >= n1 * UP) & (_unlike(n1, a, n2, b) * (UP + DOWN) <= (n1 + n2) * (DOWN - UP))
 
 
-def leading(sets: DataFrame) -> DataFrame:
-    """Pairs (``x``, ``y``) of a class and the first ones of its bucket's LEADERS parts, if the filters pass them.
+def leading(sets: DataFrame, group: int = GROUP, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Pairs (``x``, ``y``) of a class and the first ones of its buckets' LEADERS parts, if the filters pass them.
 
-    Buckets have the same rarest or third rarest code, or the same least or greatest hash among those of the prefix. So there are
-    4 LEADERS pairs a class at most, however many are alike: a large group of near copies is
-    settled by its first members, and the join need look only for what earlier lines the rest have.
+    A bucket has the same first, second or third pair of codes among those of the prefix that
+    stand in ``group`` lines or more, and ``group`` classes or more. Own words of near copies are rarer or stand behind, so a
+    large group of near copies is settled by its first members; pairs of codes hardly ever
+    meet so often otherwise. There are 3 LEADERS pairs a class at most, however many are alike, and what no leader settles
+    the join looks up.
     """
-    hashes = F.transform("prefix", lambda c: c.bitwiseAND(F.lit((1 << 56) - 1)))
-    keys = F.array_compact(F.array_distinct(F.array(F.get(hashes, F.lit(0)), F.get(hashes, F.lit(2)), F.array_min(hashes), F.array_max(hashes))))
-    rows = sets.where("n > 3").select("n", "id", "s0", "s1", F.struct("doc_id", "line_no").alias("o"), F.explode(keys).alias("key"))
+    often = F.filter("prefix", lambda c: c >= F.lit(math.floor(2 * math.log2(group)) << 56))
+    two = lambda i: F.when(F.size("often") > i, F.xxhash64(F.get("often", F.lit(i)), F.get("often", F.lit(i + 1))))
+    rows = sets.where("n > 3").select("n", "id", "s0", "s1", F.struct("doc_id", "line_no").alias("o"), often.alias("often"))
+    rows = rows.select("n", "id", "s0", "s1", "o", F.explode(F.array_compact(F.array(two(0), two(2), two(4)))).alias("key"))
+    large = stored(rows.groupBy("key").agg(F.count("*").alias("k")).where(F.col("k") >= group).select("key"))
+    rows = stored(rows.join(few(large, broadcast_rows), "key", "left_semi"))
     row = F.struct("o", "id", "n", "s0", "s1")
     leaders = [F.min(F.when(F.pmod("id", F.lit(LEADERS)) == i, row)) for i in range(LEADERS)]
-    first = rows.groupBy("key").agg(F.array_compact(F.array(*leaders)).alias("fs"), F.count("*").alias("k")).where("k > 1").drop("k")
+    first = rows.groupBy("key").agg(F.array_compact(F.array(*leaders)).alias("fs"))
     both = rows.join(first, "key").select("n", "id", "s0", "s1", "o", F.explode("fs").alias("f"))
     alike = _alike(F.col("f.n"), (F.col("f.s0"), F.col("f.s1")), F.col("n"), (F.col("s0"), F.col("s1")))
-    return both.where((F.col("f.o") < F.col("o")) & alike).select(F.col("f.id").alias("x"), F.col("id").alias("y")).distinct()
+    pairs = stored(both.where((F.col("f.o") < F.col("o")) & alike).select(F.col("f.id").alias("x"), F.col("id").alias("y")).distinct())
+    discard(large, rows)
+    return pairs
 
 
 def candidates(sets: DataFrame, settled: DataFrame) -> DataFrame:
@@ -147,24 +168,29 @@ def candidates(sets: DataFrame, settled: DataFrame) -> DataFrame:
     placed = F.least(n1 - i1, n2 - i2) * (UP + DOWN) >= (n1 + n2) * UP
     marks = n1, (F.col("a0"), F.col("a1")), n2, (F.col("b0"), F.col("b1"))
     later = F.when(before("d1", "d2"), F.col("y")).when(before("d2", "d1"), F.col("x"))
-    found = a.join(b, "code").where(once & asked & placed & _alike(*marks))
+    # sizes first: they part most pairs, at the least cost
+    found = a.join(b, "code").where((n1 <= n2) & _alike(*marks) & placed & once & asked)
     return found.select("x", "y", later.alias("asks"), _unlike(*marks).alias("far")).distinct()
 
 
-def words_of_classes(docs: DataFrame, sets: DataFrame, pairs: DataFrame, broadcast_rows: int) -> DataFrame:
+def words_of_classes(docs: DataFrame, sets: DataFrame, pairs: DataFrame, broadcast_rows: int, cut: DataFrame | None = None) -> DataFrame:
     """``id``, place ``at`` and ``words`` of the classes in pairs of ``x`` and ``y``.
 
-    Texts are read again, and only the lines of the pairs' classes are cut into tokens. ``crc``, the
-    line's hash, tells rows of the same doc_id apart.
+    They are taken from ``cut``, the ``hashed`` lines, if these are still held. Else texts are read again, and only
+    the lines of the pairs' classes are cut into tokens. ``crc``, the line's hash, tells rows of the same doc_id apart.
     """
-    ids = few(pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct(), broadcast_rows)
-    wanted = sets.join(ids, "id", "left_semi").select("id", F.col("doc_id").alias("_d"), F.col("line_no").alias("_l"), F.col("crc").alias("_c"))
-    some = few(wanted.select("_d").distinct(), broadcast_rows)
-    own = lines(docs.join(some, F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")).withColumn("crc", F.xxhash64("line"))
+    ids = stored(pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct())
+    wanted = stored(sets.join(few(ids, broadcast_rows), "id", "left_semi").select("id", F.col("doc_id").alias("_d"), F.col("line_no").alias("_l"), F.col("crc").alias("_c")))
+    own, words = cut, F.col("words")
+    if cut is None:
+        some = few(wanted.select("_d").distinct(), broadcast_rows)
+        own = lines(docs.join(some, F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")).withColumn("crc", F.xxhash64("line"))
+        words = words_of("line")
     at = (F.col("crc") == F.col("_c")) & (F.col("line_no") == F.col("_l")) & F.col("doc_id").eqNullSafe(F.col("_d"))
     texts = own.join(few(wanted, broadcast_rows), at)
-    texts = texts.select("id", F.struct("doc_id", "line_no", "id").alias("at"), words_of("line").alias("words"))
-    return texts.dropDuplicates(["id"])  # rows that repeat hold the line twice
+    texts = stored(texts.select("id", F.struct("doc_id", "line_no", "id").alias("at"), words.alias("words")).dropDuplicates(["id"]))  # rows that repeat hold the line twice
+    discard(ids, wanted)
+    return texts
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -180,7 +206,7 @@ def settled_by(docs: DataFrame, sets: DataFrame, pairs: DataFrame, broadcast_row
 
     One earlier class is enough for a line to go, so a group of near copies is settled by a few pairs a class.
     """
-    texts = stored(words_of_classes(docs, sets, pairs, broadcast_rows))
+    texts = words_of_classes(docs, sets, pairs, broadcast_rows)
     order = Window.partitionBy(F.coalesce("asks", "x")).orderBy("far", "x", "y")
     ranked = stored(pairs.withColumn("turn", F.when(F.col("asks").isNull(), 0).otherwise(F.row_number().over(order))))
     near = stored(verified(ranked.where(F.col("turn") <= nearest).select("x", "y"), texts))
@@ -200,10 +226,13 @@ def kept_lines(docs: DataFrame, bits: int = BITS, broadcast_rows: int = BROADCAS
     doc_id comes first. Null and empty texts have no lines to lose, an empty table none at all.
     """
     docs = docs.select("doc_id", "text")
-    sets = classes(docs, bits)
-    leads = stored(leading(sets))
-    settled = stored(verified(leads, words_of_classes(docs, sets, leads, broadcast_rows)))
-    discard(leads)
+    cut = held(docs)
+    sets = classes_of(cut, bits)
+    leads = leading(sets, GROUP, broadcast_rows)
+    texts = words_of_classes(docs, sets, leads, broadcast_rows, cut)
+    cut.unpersist()
+    settled = stored(verified(leads, texts))
+    discard(leads, texts)
     pairs = stored(candidates(sets, few(settled.select("id"), broadcast_rows)))
     near, rest = settled_by(docs, sets, pairs, broadcast_rows)
     discard(pairs)
@@ -213,7 +242,7 @@ def kept_lines(docs: DataFrame, bits: int = BITS, broadcast_rows: int = BROADCAS
 
 def _numbers(docs: DataFrame, carried: Column, **how) -> DataFrame:
     """``own`` (what of a row is carried along), ``n_lines`` and the numbers ``kept`` of the lines that stay, made before texts would be shuffled."""
-    due = kept_lines(docs, **how).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("line_no").alias("due"))
+    due = kept_lines(docs, **how).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list("line_no").alias("due"))
     cut = F.split("text", "\n")
     bare = F.array_compact(F.transform(cut, lambda line, i: F.when(~line.rlike(r"[\p{L}\p{N}]"), i)))
     rows = docs.select(carried.alias("own"), F.col("doc_id").alias("_id"), F.size(cut).alias("n_lines"), bare.alias("bare"))
