@@ -57,11 +57,13 @@ def rarity(rows: DataFrame, bits: int) -> str:
     larger than 2^bits, rare tokens share buckets, which costs time and no pair.
     """
     slot = F.shiftrightunsigned("w", 64 - bits).alias("i")
-    counts = rows.select(F.explode("words").alias("w")).groupBy(slot).agg(F.count("*").alias("n"))
+    counts = stored(rows.select(F.explode("words").alias("w")).groupBy(slot).agg(F.count("*").alias("n")))  # so that its shuffle files go
     every = rows.sparkSession.range(0, 1 << bits, 1, 8).withColumnRenamed("id", "j").join(counts, F.col("i") == F.col("j"), "left")
     level = F.floor(2 * F.log2(F.coalesce("n", F.lit(1)))).cast("string")
     row = every.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("j", level.alias("c")))), lambda x: x["c"]), ",").alias("levels"))
-    return row.first()["levels"]
+    levels = row.first()["levels"]
+    discard(counts)
+    return levels
 
 
 def _codes(words: str, levels: str, bits: int) -> Column:
@@ -89,7 +91,7 @@ def classes(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """
     cut = held(docs)
     sets = classes_of(cut, bits)
-    cut.unpersist()
+    cut.unpersist(blocking=True)
     return sets
 
 
@@ -230,7 +232,7 @@ def kept_lines(docs: DataFrame, bits: int = BITS, broadcast_rows: int = BROADCAS
     sets = classes_of(cut, bits)
     leads = leading(sets, GROUP, broadcast_rows)
     texts = words_of_classes(docs, sets, leads, broadcast_rows, cut)
-    cut.unpersist()
+    cut.unpersist(blocking=True)
     settled = stored(verified(leads, texts))
     discard(leads, texts)
     pairs = stored(candidates(sets, few(settled.select("id"), broadcast_rows)))
