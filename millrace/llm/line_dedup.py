@@ -19,7 +19,7 @@ BITS = 18
 #: Tokens of a line up to which one half of the signature tells lines apart.
 SHORT = 70
 #: Classes from which a bucket has leaders.
-GROUP = 64
+GROUP = 16
 #: Parts of a bucket, by the classes' hashes, whose first members lead it.
 LEADERS = 8
 #: Earlier classes, the likest ones, that a class is compared with before the rest of its candidates.
